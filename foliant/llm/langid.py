@@ -9,6 +9,7 @@ is scored in lockstep with a table lookup for each byte.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +21,7 @@ from foliant.runtime import spread
 
 LANGS = ("ja", "en", "de", "fr", "es", "pt", "zh")
 MAX_ORDER = 4
-MAX_STATES = 16_000
+MAX_STATES = 12_000
 #: The fit reads at most this many labelled rows of each language, each of at most TRAIN_CHARS characters (longer rows aren't candidates).
 TRAIN_ROWS, TRAIN_CHARS = 240, 3_000
 QUANT = 8  # a code length is kept in eighths of a bit
@@ -133,6 +134,15 @@ class Trees:
         q[:, :, L:] = 0
         return Trees(nxt.reshape(-1), q.reshape(S * 256, 8).view(np.uint64), langs, S)
 
+    def __getstate__(self) -> dict:
+        """Compressed: a state repeats most of its suffix's table, and the model goes to every executor."""
+        return {"nxt": zlib.compress(self.nxt, 1), "cost": zlib.compress(self.cost, 1), "langs": self.langs, "states": self.states}
+
+    def __setstate__(self, s: dict) -> None:
+        self.nxt = np.frombuffer(zlib.decompress(s["nxt"]), dtype=np.int32)
+        self.cost = np.frombuffer(zlib.decompress(s["cost"]), dtype=np.uint64).reshape(-1, 2)
+        self.langs, self.states = s["langs"], s["states"]
+
     def bits(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Code length in bits of every data[start:end] under every language."""
         out = np.zeros((len(start), 8), dtype=np.float64)

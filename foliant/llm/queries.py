@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import components, langid, lookalike, splitting
+from foliant.llm import components, langid, lookalike, neighbours, splitting
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,22 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count("*").alias("groups"))
 
 
+# ---- 5: most similar vectors
+
+ALIKE = 0.85
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """The five most similar chunks of every chunk with a usable vector."""
+    return neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding").select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 5).alias("cosine"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs at 0.85 or more of which one is among the five most similar of the other."""
+    near = neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding").where(F.col("cosine") >= ALIKE - 1e-7)
+    return near.select(F.least("id", "neighbour").alias("a_chunk_id"), F.greatest("id", "neighbour").alias("b_chunk_id")).distinct()
+
+
 # ---- 6: pieces of oversized sections
 
 
@@ -76,4 +92,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_group_sizes, p6_found, p6_pieces, p9_found, p9_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p9_found, p9_segments)}
