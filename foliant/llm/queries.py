@@ -6,12 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import components, langid, lookalike, neighbours, splitting
+from foliant.llm import components, langid, lookalike, neardup, neighbours, splitting
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# ---- 1: near-duplicates with small edits
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of versions of different documents whose markdown is at least 60 % alike."""
+    return neardup.similar_pairs(table(spark, d, "document_versions"), "version_id", "document_id", "markdown").select(F.col("a").alias("a_version_id"), F.col("b").alias("b_version_id"))
+
+
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Every version with the class of its text and the number of classes like it."""
+    return neardup.classes_with_links(table(spark, d, "document_versions"), "version_id", "document_id", "markdown").withColumnRenamed("key", "version_id")
+
+
 # ---- 2: visually identical text
 
 
@@ -92,4 +105,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p9_found, p9_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p9_found, p9_segments)}
