@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import components, langid, lookalike, neardup, neighbours, splitting
+from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, splitting
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_sections(table(spark, d, "markdown_sections")).where("piece_no = 0 and boundary is not null").select("section_id", "boundary")
 
 
+# ---- 8: evaluation passages in the corpus
+
+
+def p8_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the items of which they hold a passage, with the share of the item that they hold."""
+    m = leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+    return m.withColumn("share", F.round(F.col("covered") / F.col("item_words"), 6))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that repeat at least half of an item."""
+    return p8_matches(spark, d).where(F.col("covered") * 2 >= F.col("item_words")).select("doc_id", "item_id")
+
+
 # ---- 9: languages
 
 
@@ -105,4 +119,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p9_found, p9_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p8_found, p8_matches, p9_found, p9_segments)}
