@@ -249,6 +249,16 @@ def analyse(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nda
     return doc, start, end, best, conf, full
 
 
+#: A batch is worked on in parts of about so many bytes of text.
+PART_BYTES = 4_000_000
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    rows = max(1, int(len(batch) * PART_BYTES / max(1, batch.column(2).nbytes)))
+    for a in range(0, len(batch), rows):
+        yield batch.slice(a, rows)
+
+
 SEGMENT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64()), ("sentence", pa.bool_())])
 ARROW = pa.schema([("doc_id", pa.int64()), ("label", pa.string()), ("lang", pa.string()), ("confidence", pa.float64()), ("languages", pa.list_(pa.string())), ("n_segments", pa.int32()), ("segments", pa.list_(SEGMENT))])
 OUT = "doc_id long, label string, lang string, confidence double, languages array<string>, n_segments int, segments array<struct<start:int,end:int,lang:string,confidence:double,sentence:boolean>>"
@@ -342,7 +352,7 @@ def identify(docs: DataFrame, trees: Trees, text: str = "text", label: str = "la
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), canonical_label(F.col(label)).alias("label"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for whole in batches for part in _slices(whole)):
             t = b.column(2)
             large = pa.types.is_large_string(t.type)
             off = np.frombuffer(t.buffers()[1], dtype=np.int64 if large else np.int32)[t.offset : t.offset + len(t) + 1].astype(np.int64)

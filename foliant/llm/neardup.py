@@ -111,7 +111,7 @@ def _prepared(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
     """(key, owner, c, z): class of the bare text (64 bits of its BLAKE2 hash) and the bare text itself, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(a, 1_000) for whole in batches for a in range(0, len(whole), 1_000)):
             bare = bare_texts(batch.column(2).to_pylist())
             at = [i for i, t in enumerate(bare) if len(t) >= LEAST_CHARS]
             raw = [bare[i].encode("utf-8", "surrogatepass") for i in at]
@@ -135,9 +135,7 @@ def similar_classes(df: DataFrame, key: str, owner: str, text: str) -> tuple[Dat
     texts = prepared.groupBy("c").agg(F.first("z").alias("z"))
 
     def fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (whole.slice(a, 1_000) for whole in batches for a in range(0, len(whole), 1_000)):
             sketch, keys = fingerprints([zlib.decompress(z).decode("utf-8", "surrogatepass") for z in batch.column(1).to_pylist()])
             who, at = np.nonzero(keys)
             c = batch.column(0).to_numpy()
