@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, splitting
+from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, packing, splitting
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,20 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_sections(table(spark, d, "markdown_sections")).where("piece_no = 0 and boundary is not null").select("section_id", "boundary")
 
 
+# ---- 7: containers of fixed capacity
+
+
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Every document in containers of each capacity of token_budgets."""
+    return packing.fill_containers(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"), table(spark, d, "token_budgets"))
+
+
+def p7_fill(spark: SparkSession, d: str) -> DataFrame:
+    """Containers and unused tokens of each budget."""
+    bins = p7_containers(spark, d).groupBy("budget_id", "capacity", "container").agg(F.sum("tokens").alias("used"))
+    return bins.groupBy("budget_id", "capacity").agg(F.count("*").alias("containers"), F.sum(F.col("capacity") - F.col("used")).alias("unused"))
+
+
 # ---- 8: evaluation passages in the corpus
 
 
@@ -119,4 +133,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p8_found, p8_matches, p9_found, p9_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
