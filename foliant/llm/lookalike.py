@@ -12,10 +12,11 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.runtime import spread
+from foliant.runtime import discard, materialise, spread
 
 # Letters, kana and kanji that look alike, each pair as (drawn like, representative).
 LOOKALIKES = """
@@ -48,85 +49,124 @@ def _table() -> dict[int, str | None]:
 
 
 class Mapper:
-    """Text to comparison value. The table is built once a process."""
+    """Text to comparison value. The tables are built once a process.
+
+    `one` maps a code point whose value doesn't depend on its neighbours; texts that hold any other one take the slow way.
+    """
 
     _table: dict[int, str | None] | None = None
+    one: np.ndarray
+    slow: np.ndarray
+    letter: np.ndarray
 
     @classmethod
-    def table(cls) -> dict[int, str | None]:
-        if cls._table is None:
-            cls._table = _table()
-        return cls._table
+    def load(cls) -> None:
+        if cls._table is not None:
+            return
+        cls._table = _table()
+        n = sys.maxunicode + 1
+        cls.one, cls.slow, cls.letter = np.arange(n, dtype=np.uint32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+        for o in range(n):
+            ch = chr(o)
+            cat = unicodedata.category(ch)
+            if cat in ("Cn", "Co") or 0x20000 <= o < 0x2F800 or 0xAC00 <= o <= 0xD7A3:
+                continue
+            if cat == "Cs" or cat[0] == "M" and o in cls._table and cls._table[o] is None:
+                cls.one[o] = 0
+                continue
+            value = cls.value(ch)
+            if len(value) > 1 or cat[0] == "M" or 0x1100 <= o <= 0x11FF or unicodedata.combining(ch) or o in (0xFF9E, 0xFF9F):
+                cls.slow[o] = True
+            else:
+                cls.one[o] = ord(value) if value else 0
+        cls.letter = np.fromiter((chr(i).isalnum() for i in range(n)), dtype=bool, count=n)
 
     @classmethod
     def value(cls, text: str) -> str:
-        t = cls.table()
-        if text.isascii() and text.isprintable():
-            return text
+        """The slow way, for any text."""
+        cls.load()
+        t = cls._table
         once = unicodedata.normalize("NFKC", text).translate(t)
-        # voicing marks left standing alone by the mapping compose only now; a representative may itself carry one
-        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", once).translate(t))
-
-
-def comparison_values(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, value, form): `value` is the comparison value, `form` a 64-bit hash of its canonical composition."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Mapper.table()
-        for b in batches:
-            yield pd.DataFrame({"key": b.key, "text": b.text, "value": [Mapper.value(t) for t in b.text]})
+        # a representative may itself fold further, and marks may compose only after the mapping
+        return unicodedata.normalize("NFC", unicodedata.normalize("NFD", once).translate(t)).replace("\0", "")
 
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text")).where("text is not null")
-    kind = dict(df.dtypes)[key]
-    return spread(rows).mapInPandas(run, f"key {kind}, text string, value string").withColumn("form", F.xxhash64("value"))
+    @classmethod
+    def values(cls, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        """Values of all texts, and a 64-bit hash of each value's letters and digits."""
+        cls.load()
+        code, off = _codes(texts)
+        odd = np.flatnonzero(cls.slow[code])
+        if len(odd):
+            texts = list(texts)
+            for i in np.unique(np.searchsorted(off, odd, side="right") - 1):
+                texts[i] = cls.value(texts[i])
+            code, off = _codes(texts)
+            again = np.where(cls.slow[code], code, cls.one[code])
+        else:
+            again = cls.one[code]
+        keep = again != 0
+        off = np.r_[0, np.cumsum(keep)][off]
+        code = again[keep]
+        whole = code.tobytes().decode("utf-32-le", "surrogatepass")
+        ink = cls.letter[code]
+        at = np.flatnonzero(ink)
+        coff = np.r_[0, np.cumsum(ink)][off]
+        size = np.diff(coff)
+        hashes = np.zeros(len(texts), dtype=np.uint64)
+        if len(at):
+            power = np.cumprod(np.full(int(size.max()), np.uint64(0x9E3779B97F4A7C15), dtype=np.uint64))
+            full = np.flatnonzero(size)
+            nth = np.arange(len(at)) - np.repeat(coff[:-1], size)
+            hashes[full] = np.add.reduceat((code[at].astype(np.uint64) + np.uint64(1)) * power[nth], coff[:-1][full])
+        hashes ^= hashes >> np.uint64(32)
+        return [whole[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist())], hashes.view(np.int64)
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.r_[0, np.cumsum([len(t) for t in texts], dtype=np.int64)]
 
 
-def _forms(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, stored, form): hashes only; the text itself stays where it is read."""
+def comparison_values(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stored, coarse, value) of the rows that have a text: the stored text's hash, a hash of its letters and digits, its comparison value."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        Mapper.table()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"key": b.key, "stored": b.stored, "value": [Mapper.value(t) for t in b.text]})
+            for a in range(0, len(b), 2_000):
+                part = b.slice(a, 2_000)
+                value, coarse = Mapper.values(part.column(2).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(coarse), pa.array(value)], names=["key", "stored", "coarse", "value"])
 
-    kind = dict(df.dtypes)[key]
-    rows = df.select(F.col(key).alias("key"), F.xxhash64(text).alias("stored"), F.col(text).alias("text")).where("text is not null")
-    return spread(rows).mapInPandas(run, f"key {kind}, stored long, value string")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.xxhash64(text).alias("stored"), F.col(text).alias("text")).where("key is not null and text is not null")
+    return spread(rows).mapInArrow(run, "key long, stored long, coarse long, value string")
 
 
-def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, text, class_id, canonical): for every row with a text, the class of texts that look like it and the class's canonical text.
+def lookalike_members(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, stored, class_id): rows of the classes that hold more than one stored text.
 
-    Repeated rows of one key and text count once; a null text gives no row, an empty one is a class with all texts that
-    show nothing. The canonical member is the text that already is the comparison value, else the first by code point.
-    class_id is the SHA-256 of the canonical text. Rows are first reduced to the distinct stored texts, so a text that
-    holds a third of all rows is one row of the grouping.
+    A first pass over hashes finds the texts that agree with a differently stored one in letters and digits; the
+    collation can't hold two values equal that differ there. Only those values are grouped under the collation, one row
+    for each stored text, so that a text which holds a third of all rows weighs one row. Nulls take no part, repeated rows count once.
     """
     spark = df.sparkSession
-    rows = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    texts = comparison_values(rows.groupBy("text").agg(F.first("key").alias("any")), "any", "text")
-    members = spark.sql("SELECT text, value COLLATE UNICODE AS value FROM {t}", t=texts)
-    classes = spark.sql(
-        "SELECT value, count(*) AS n, coalesce(min(CASE WHEN text = value COLLATE UTF8_BINARY THEN text END), min(text)) AS canonical FROM {m} GROUP BY value", m=members
-    )
-    chosen = spark.sql("SELECT m.text, c.canonical FROM {m} m JOIN {c} c ON m.value = c.value", m=members, c=classes)
-    return rows.distinct().join(chosen, "text").select("key", "text", F.sha2("canonical", 256).alias("class_id"), "canonical")
+    rows = materialise(comparison_values(df, key, text), "values")
+    several = rows.groupBy("coarse").agg((F.min("stored") != F.max("stored")).alias("several")).where("several").select("coarse")
+    kept = materialise(rows.join(several, "coarse", "left_semi"), "kept")
+    discard(rows)
+    once = spark.sql("SELECT stored, first(value) COLLATE UNICODE AS value FROM {k} GROUP BY stored", k=kept)
+    classes = spark.sql("SELECT value, min(stored) AS class_id FROM {m} GROUP BY value HAVING count(*) > 1", m=once)
+    ids = spark.sql("SELECT m.stored, c.class_id FROM {m} m JOIN {c} c ON m.value = c.value", m=once, c=classes)
+    return kept.select("key", "stored").distinct().join(ids, "stored").select("key", "stored", "class_id")
 
 
-def lookalike_members(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, stored, class_id): rows of the classes that hold more than one stored text.
+def canonical_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, canonical, changed) for every row that has a key and a text: the canonical text of all texts that look like it.
 
-    Only hashes travel for the rows whose class has one stored text; `value` texts are grouped under the collation for the
-    rest. The first pass compares hashes of an even coarser form (letters and digits only), so it can't separate
-    two values that the collation holds equal.
+    The canonical member of a class is the stored text that comes first by code point; a text that no other one looks like is its own.
+    Repeated rows count once. An empty text is its own class with all texts that show nothing.
     """
-    spark = df.sparkSession
-    hashed = _forms(df, "chunk_id" if key is None else key, text)
-    coarse = hashed.select("key", "stored", "value", F.xxhash64(F.regexp_replace("value", r"[^\p{L}\p{Nd}]", "")).alias("coarse"))
-    per = coarse.groupBy("coarse").agg((F.min("stored") != F.max("stored")).alias("several")).where("several").select("coarse")
-    kept = coarse.join(per, "coarse", "left_semi")
-    once = spark.sql("SELECT DISTINCT stored, value FROM {k}", k=kept)
-    members = spark.sql("SELECT stored, value COLLATE UNICODE AS value FROM {o}", o=once)
-    classes = spark.sql("SELECT value, min(stored) AS class_id FROM {m} GROUP BY value HAVING count(*) > 1", m=members)
-    ids = spark.sql("SELECT m.stored, c.class_id FROM {m} m JOIN {c} c ON m.value = c.value", m=members, c=classes)
-    return kept.select("key", "stored").join(ids, "stored").select("key", "stored", "class_id")
+    rows = df.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("stored")).where("key is not null and text is not null")
+    ids = materialise(lookalike_members(df, key, text).select("stored", "class_id").distinct(), "classes")
+    members = rows.join(ids, "stored").groupBy("class_id").agg(F.min("text").alias("canonical"))
+    chosen = ids.join(members, "class_id").select("stored", "canonical")
+    out = rows.join(chosen, "stored", "left").select("key", F.coalesce("canonical", "text").alias("canonical"), F.coalesce(F.col("canonical") != F.col("text"), F.lit(False)).alias("changed"))
+    return out.dropDuplicates(["key", "canonical"])

@@ -38,7 +38,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk's text in the form shared by all texts that look like it."""
     got = lookalike.canonical_texts(table(spark, d, "chunks"), "chunk_id", "text")
-    return got.select(F.col("key").alias("chunk_id"), "class_id", F.sha2("canonical", 256).alias("canonical_sha"), F.length("canonical").cast("long").alias("canonical_chars"))
+    return got.select(F.col("key").alias("chunk_id"), F.sha2("canonical", 256).alias("canonical_sha"), F.length("canonical").cast("long").alias("canonical_chars"), "changed")
 
 
 # ---- 3: groups from pairwise matches
