@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, packing, splitting
+from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, ocr, packing, splitting
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,24 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
     return sizes.groupBy("members").agg(F.count("*").alias("groups"))
 
 
+# ---- 4: text from scanned pages
+
+
+def _repaired(spark: SparkSession, d: str) -> DataFrame:
+    results = table(spark, d, "conversion_results")
+    return ocr.repair_results(results, ocr.fit(results))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Damaged lines of the pages."""
+    return _repaired(spark, d).select("version_id", F.explode("defects").alias("x")).select("version_id", "x.page_no", "x.line_no", "x.defect").distinct()
+
+
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The repaired text of every result, paragraph by paragraph."""
+    return _repaired(spark, d).select("version_id", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+
+
 # ---- 5: most similar vectors
 
 ALIKE = 0.85
@@ -133,4 +151,4 @@ def p9_segments(spark: SparkSession, d: str) -> DataFrame:
     return s.select("doc_id", "segment_no", F.col("s.start").alias("start"), F.col("s.end").alias("end"), F.col("s.lang").alias("lang"), F.round("s.confidence", 6).alias("confidence"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p5_found, p5_neighbours, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_classes, p2_found, p2_canonical, p3_found, p3_group_sizes, p4_found, p4_paragraphs, p5_found, p5_neighbours, p6_found, p6_pieces, p7_containers, p7_fill, p8_found, p8_matches, p9_found, p9_segments)}
