@@ -342,17 +342,20 @@ def _fix_wide(stream: str, model: Model) -> list[tuple[int, str]]:
     return out
 
 
-def _decode(tokens: list[tuple[str, int, int, bool]], model: Model) -> list[tuple[int, int, int, str]]:
-    """Shortest path through the tokens (text, line, column, cut by a hyphen at the end): changes as (line, column, length, word meant).
+Change = tuple[int, int, int, str, bool]
+
+
+def _decode(tokens: list[tuple[str, int, int, bool]], model: Model) -> list[Change]:
+    """Shortest path through the tokens (text, line, column, cut by a hyphen at the end): changes as (line, column, length, text meant, whether it was misread).
 
     Steps: keep a word; replace one by what was meant; join two halves over a hyphen or a stray space; part two run together.
     """
     n = len(tokens)
     best = [math.inf] * (n + 1)
-    step: list[tuple[int, list[tuple[int, int, int, str]]]] = [(0, [])] * (n + 1)
+    step: list[tuple[int, list[Change]]] = [(0, [])] * (n + 1)
     best[0] = 0.0
 
-    def offer(j: int, i: int, price: float, changes: list[tuple[int, int, int, str]]) -> None:
+    def offer(j: int, i: int, price: float, changes: list[Change]) -> None:
         if best[i] + price < best[j]:
             best[j], step[j] = best[i] + price, (i, changes)
 
@@ -366,8 +369,12 @@ def _decode(tokens: list[tuple[str, int, int, bool]], model: Model) -> list[tupl
             got = model.meant(whole) if model.cost(whole) is None else None
             changes = []
             if got:
-                at = got[1]
-                changes = [(line, col + at, 1, got[0])] if at < len(w) else [(line2, col2 + at - len(w), 1, got[0])]
+                if got[1] >= len(w):
+                    changes = [(line2, col2, len(right), got[0][len(w) :], True)]
+                elif got[0].endswith(right):
+                    changes = [(line, col, len(w), got[0][: -len(right)], True)]
+                else:
+                    changes = [(line, col, len(w), w, True)]
             offer(i + 2, i, 1.0, changes)
             continue
         if known is not None and known < 9.0:
@@ -375,18 +382,18 @@ def _decode(tokens: list[tuple[str, int, int, bool]], model: Model) -> list[tupl
             continue
         got = model.meant(w)
         if got:
-            offer(i + 1, i, (model.cost(got[0]) or 12.0) + 3.0, [(line, col + got[1], len(w), got[0])])
+            offer(i + 1, i, (model.cost(got[0]) or 12.0) + 3.0, [(line, col, len(w), got[0], True)])
         offer(i + 1, i, plain + (12.0 if got else 0.0), [])
         if known is None and i + 1 < n and tokens[i + 1][1] == line and len(w) + len(tokens[i + 1][0]) > 5:
             c = model.cost(w + tokens[i + 1][0])
             if c is not None and model.cost(tokens[i + 1][0]) is None:
-                offer(i + 2, i, c + 6.0, [(line, col, len(w), w + tokens[i + 1][0])])
+                offer(i + 2, i, c + 6.0, [(line, col, tokens[i + 1][2] + len(tokens[i + 1][0]) - col, w + tokens[i + 1][0], True)])
         if known is None and len(w) >= 8:
             for k in range(3, len(w) - 2):
                 a, b = model.cost(w[:k]), model.cost(w[k:])
                 if a is not None and b is not None and a + b + 8.0 < plain:
-                    offer(i + 1, i, a + b + 8.0, [(line, col, len(w), "\0" + w[:k] + " " + w[k:])])
-    out: list[tuple[int, int, int, str]] = []
+                    offer(i + 1, i, a + b + 8.0, [(line, col, len(w), w[:k] + " " + w[k:], False)])
+    out: list[Change] = []
     j = n
     while j:
         i, changes = step[j]
@@ -476,17 +483,17 @@ def repair(pages: list[str | None] | None, model: Model) -> Repaired:
             defects.append((p + 1, i + 1, "broken_word"))
         if _LOST.search(line):
             wrong.add(n)
-        found = [m for m in _TOKEN.finditer(_CODE.sub(lambda m: " " * len(m[0]), _LOST.sub(lambda m: "�" * len(m[0]), line)))]
+        masked = _LOST.sub(lambda m: "�" * len(m[0]), line)
+        found = list(_TOKEN.finditer(_CODE.sub(lambda m: " " * len(m[0]), masked)))
         for k, m in enumerate(found):
-            near = line[max(0, m.start() - 1) : m.end() + 6]
-            if "�" in near or "(cid:" in line[max(0, m.start() - 6) : m.end() + 5]:
+            if "�" in masked[max(0, m.start() - 1) : m.end() + 1]:
                 continue
             last = cut[n] and k == len(found) - 1
             tokens.append((m[0], n, m.start(), last))
-    for line, col, size, meant in _decode(tokens, model):
-        if not meant.startswith("\0"):
+    for line, col, size, meant, misread in _decode(tokens, model):
+        if misread:
             wrong.add(line)
-        changes[line].append((col, size, meant.lstrip("\0")))
+        changes[line].append((col, size, meant))
     # text without spaces
     if any(_WIDE.search(x[2]) for x in body):
         stream, where = [], []
@@ -503,8 +510,7 @@ def repair(pages: list[str | None] | None, model: Model) -> Repaired:
     fixed = []
     for n, (_, _, line) in enumerate(body):
         for col, size, meant in sorted(changes[n], reverse=True):
-            if size > 1 or len(meant) == 1:
-                line = line[:col] + meant + line[col + size :] if line[col : col + size].strip() else line
+            line = line[:col] + meant + line[col + size :]
         fixed.append(line)
     starts = _paragraph_breaks(fixed, gaps, max((len(x) for x in fixed), default=0))
     paragraphs: list[str] = []
@@ -515,9 +521,23 @@ def repair(pages: list[str | None] | None, model: Model) -> Repaired:
         elif cut[n - 1]:
             paragraphs[-1] = re.sub(r"[-‐‑¬­]\s*$", "", paragraphs[-1]) + text
         else:
-            glue = "" if paragraphs[-1] and text and (_WIDE.match(text[0]) or _WIDE.match(paragraphs[-1][-1])) else " "
+            glue = "" if paragraphs[-1] and text and (_HYPHEN.search(paragraphs[-1]) or _WIDE.match(text[0]) or _WIDE.match(paragraphs[-1][-1])) else " "
             paragraphs[-1] += glue + text
-    return Repaired(sorted(set(defects)), paragraphs)
+    return Repaired(sorted(set(defects)), [_GAP.sub(lambda m: _restored(m[0], model), p) for p in paragraphs])
+
+
+_GAP = re.compile(r"[^\W\d_⺀-鿿]*(?:�|\(cid:\d+\))[^\W\d_⺀-鿿]*")
+_LETTERS = "abcdefghijklmnopqrstuvwxyzäöüßàâçèéêëîïôùûñáíóúãõABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _restored(w: str, model: Model) -> str:
+    """A word with one lost letter as the most frequent word that it can be; else as it stands."""
+    m = _LOST.search(w)
+    head, tail = w[: m.start()], w[m.end() :]
+    if len(head) + len(tail) < 3:
+        return w
+    best = max((head + c + tail for c in _LETTERS), key=lambda x: 0 if x in model.wrong else model.words.get(x, 0))
+    return best if model.words.get(best, 0) >= 3 else w
 
 
 OUT = "version_id string, defects array<struct<page_no:int,line_no:int,defect:string>>, paragraphs array<string>"
