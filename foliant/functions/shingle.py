@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 SHINGLE, BITS = 3, 48
 MASK = (1 << BITS) - 1
@@ -51,7 +51,7 @@ def simhash_of(groups: list[list[str]]) -> np.ndarray:
     return out
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def simhash48(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """48-bit similarity hash of arrays of shingles; null for null."""
     for s in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 #: White space including the ideographic and the no-break space and the byte-order mark.
 WS = r"[\s\x{3000}\x{00A0}\x{FEFF}]"
@@ -66,7 +66,7 @@ def content_hash(c: Column) -> Column:
     return F.sha2(c, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; nulls stay null."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
