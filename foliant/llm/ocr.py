@@ -19,7 +19,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from foliant.runtime import spread
+from foliant.runtime import materialise, spread
 
 #: The lexicon holds at most so many entries of each kind, the most frequent ones; each was seen twice or more.
 LEXICON = 200_000
@@ -192,6 +192,7 @@ def fit(results: DataFrame, pages: str = "page_texts") -> Model:
         yield pd.DataFrame({"k": list(n), "n": list(n.values())})
 
     counts = spread(results.select(F.col(pages).alias("p"))).mapInPandas(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
+    counts = materialise(counts, "counts")
     kinds: dict[str, dict[str, int]] = defaultdict(dict)
     for kind in ("w", "h", "e", "xyz"):
         for r in counts.where(F.substring("k", 1, 1).isin(*kind)).orderBy(F.desc("n"), "k").limit(LEXICON).collect():
