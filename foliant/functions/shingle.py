@@ -17,7 +17,9 @@ FNV_OFFSET, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 def shingles(words: Column, n: int = SHINGLE) -> Column:
     """Runs of n words joined by spaces, repeats kept; all words as one where there are fewer; empty for none."""
     size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    # neighbours side by side: a lambda that reached back into `words` would evaluate it for every element
+    room = F.greatest(F.lit(0), size - (n - 1))
+    runs = F.transform(F.arrays_zip(*(F.slice(words, i, room).alias(f"w{i}") for i in range(1, n + 1))), lambda x: F.concat_ws(" ", *(x[f"w{i}"] for i in range(1, n + 1))))
     return F.when(size == 0, F.array().cast("array<string>")).when(size < n, F.array(F.array_join(words, " "))).otherwise(runs)
 
 

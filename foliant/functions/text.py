@@ -51,8 +51,13 @@ def strip_anchors(markdown: Column) -> Column:
 
 
 def human_bytes(n: Column) -> Column:
-    kb, mb = n / 1024, n / (1024 * 1024)
-    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024 * 1024, F.concat(F.format_string("%.1f", kb), F.lit(" KB"))).otherwise(F.concat(F.format_string("%.1f", mb), F.lit(" MB")))
+    """Bytes, KB or MB with one decimal, halves rounded up."""
+
+    def tenths(unit: int) -> Column:
+        t = F.floor((n * 10 + unit // 2) / unit).cast("long")
+        return F.concat(F.floor(t / 10).cast("string"), F.lit("."), (t % 10).cast("string"))
+
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1 << 20, F.concat(tenths(1 << 10), F.lit(" KB"))).otherwise(F.concat(tenths(1 << 20), F.lit(" MB")))
 
 
 def slug(index: Column, heading: Column) -> Column:
