@@ -10,7 +10,22 @@ _GROUPS = f"""WITH RECURSIVE e AS ({_COUNTING}), n AS (SELECT a u, b v FROM e UN
 reach(u, v) AS (SELECT u, u FROM n UNION SELECT r.u, n.v FROM reach r JOIN n ON r.v = n.u)
 SELECT u AS version_id, min(v) AS group_id FROM reach GROUP BY u"""
 
+# all pairs by an inverted index of five-character runs
+_ALIKE = r"""WITH v AS (SELECT DISTINCT version_id, document_id, regexp_replace(lower(markdown), '[^\p{L}\p{N}]', '', 'g') AS t FROM document_versions WHERE markdown IS NOT NULL),
+s AS (SELECT version_id, document_id, unnest(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5)))) AS g FROM v WHERE length(t) >= 200),
+n AS (SELECT version_id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.version_id AS x, b.version_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.version_id < b.version_id AND a.document_id <> b.document_id GROUP BY ALL)
+SELECT x AS a_version_id, y AS b_version_id FROM c JOIN n p ON p.version_id = x JOIN n q ON q.version_id = y WHERE k >= 0.6 * (p.n + q.n - k)"""
+
+_NEAREST = """WITH e AS (SELECT DISTINCT ON (chunk_id) chunk_id, embedding::DOUBLE[] AS v FROM chunk_embeddings
+ WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.chunk_id <> b.chunk_id),
+r AS (SELECT a, b, s FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS a_chunk_id, greatest(a, b) AS b_chunk_id FROM r WHERE s >= 0.85"""
+
 ORACLES: dict[str, str] = {
+    "p1_found": _ALIKE,
+    "p5_found": _NEAREST,
     "p3_found": _GROUPS,
     "p3_group_sizes": f"SELECT members, count(*) AS groups FROM (SELECT group_id, count(*) AS members FROM ({_GROUPS}) GROUP BY group_id) GROUP BY members",
     "p6_found": r"""WITH s AS (SELECT section_id, text, coalesce(target_size, 700) t FROM markdown_sections WHERE length(text) > coalesce(target_size, 700)),
