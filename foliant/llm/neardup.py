@@ -1,6 +1,6 @@
 """Near-duplicate texts by Golay-code fuzzy hashing.
 
-A text (lower case, letters and digits only) is a set of runs of five characters. 64 minimum hashes of that set make its
+A text (lower case, letters and digits only) is a set of runs of five characters. 96 minimum hashes of that set make its
 fingerprint; groups of four give 23-bit segments, six bits from each. At a likeness of 0.6 the errors of a pair are spread over
 the segments, and by the pigeonhole principle some segment has few: a segment is decoded to the codewords of
 the Golay code nearby, whose messages are its keys. A key joins with two whole minimum hashes from elsewhere in the
@@ -22,7 +22,8 @@ from foliant.llm import golay
 from foliant.runtime import materialise, spread
 
 RUN, LEAST_CHARS, ALIKE = 5, 200, 0.6
-HASHES, SEGMENTS, PER_SEGMENT, SEGMENT_BITS = 64, 14, 4, 6
+HASHES, SEGMENTS, PER_SEGMENT, SEGMENT_BITS = 96, 24, 4, 6
+SKETCH_BITS = 64
 #: Bits of 64 in which the sketches of a pair may differ: at likeness 0.6 the mean is 13 with a deviation of 3.2.
 SKETCH_ERRORS = 22
 
@@ -87,7 +88,7 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     for i in range(HASHES):
         low[i] = np.minimum.reduceat(x * _MULT[i] + _PLUS[i], start)
     sketch = np.zeros(len(texts), dtype=np.uint64)
-    for i in range(HASHES):
+    for i in range(SKETCH_BITS):
         sketch = sketch << np.uint64(1) | _bits(low[i], 0xC2B2AE35, 1)
     keys = np.zeros((len(texts), SEGMENTS * golay.KEYS), dtype=np.int64)
     for s in range(SEGMENTS):
@@ -101,12 +102,31 @@ def fingerprints(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return sketch.view(np.int64), keys
 
 
-def _likeness(a: bytes, b: bytes) -> float:
-    x, y = (np.unique(_runs([zlib.decompress(z).decode("utf-8", "surrogatepass")])[0]) for z in (a, b))
-    common = len(np.intersect1d(x, y, assume_unique=True))
+def _likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """Shared over all members of two sorted sets."""
+    if len(x) > len(y):
+        x, y = y, x
+    at = np.searchsorted(y, x)
+    common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
     return common / (len(x) + len(y) - common)
 
 
+class Sets:
+    """Run sets of the texts met last; a text comes up once for each pair that it is in."""
+
+    def __init__(self, most: int = 1_000) -> None:
+        self.most, self.held = most, {}
+
+    def get(self, c: int, z: bytes) -> np.ndarray:
+        got = self.held.pop(c, None)
+        if got is None:
+            got = np.unique(_runs([zlib.decompress(z).decode("utf-8", "surrogatepass")])[0])
+            if len(self.held) >= self.most:
+                self.held.pop(next(iter(self.held)))
+        self.held[c] = got
+        return got
+
+
 def _prepared(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
     """(key, owner, c, z): class of the bare text (64 bits of its BLAKE2 hash) and the bare text itself, compressed."""
 
@@ -123,12 +143,12 @@ def _prepared(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
     return spread(rows).mapInArrow(run, "key string, owner string, c long, z binary")
 
 
-def similar_classes(df: DataFrame, key: str, owner: str, text: str) -> tuple[DataFrame, DataFrame]:
+def similar_classes(df: DataFrame, key: str, owner: str, text: str, cross_owner: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership (key, owner, c) and the pairs (a, b, likeness), a < b, of different classes at ALIKE or more.
 
     A class holds the rows whose bare texts are equal. Null keys, null texts and texts under LEAST_CHARS letters and
     digits belong to none; repeated rows count once; a null owner is an owner of its own kind. No pair of classes is left out
-    for the size of a bucket. The likeness is exact.
+    for the size of a bucket. The likeness is exact. With cross_owner, pairs of classes within one and the same owner are left out.
     """
     prepared = materialise(_prepared(df, key, owner, text), "texts")
     members = prepared.select("key", "owner", "c").distinct()
@@ -144,12 +164,19 @@ def similar_classes(df: DataFrame, key: str, owner: str, text: str) -> tuple[Dat
     buckets = texts.mapInArrow(fingerprint, "k long, c long, s long")
     a, b = buckets.alias("a"), buckets.alias("b")
     met = a.join(b, F.expr(f"a.k = b.k and a.c < b.c and bit_count(a.s ^ b.s) <= {SKETCH_ERRORS}"))
-    pairs = materialise(met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct(), "pairs")
+    pairs = met.select(F.col("a.c").alias("a"), F.col("b.c").alias("b")).distinct()
+    if cross_owner:  # classes that lie within one owner together hold no pair of two
+        own = members.groupBy("c").agg(F.when(F.coalesce(F.min("owner") == F.max("owner"), F.lit(False)) & (F.count("owner") == F.count("*")), F.min("owner")).alias("own"))
+        pairs = pairs.join(own.select(F.col("c").alias("a"), F.col("own").alias("oa")), "a").join(own.select(F.col("c").alias("b"), F.col("own").alias("ob")), "b")
+        pairs = pairs.where("oa is null or ob is null or oa <> ob").select("a", "b")
+    pairs = materialise(pairs, "pairs")
     texts = prepared.groupBy("c").agg(F.first("z").alias("z"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = Sets()
         for batch in batches:
-            like = np.array([_likeness(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())], dtype=np.float64)
+            a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
+            like = np.array([_likeness(sets.get(i, x), sets.get(j, y)) for i, j, x, y in zip(a, b, za, zb)], dtype=np.float64)
             keep = pa.array(like >= ALIKE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(like).filter(keep)], names=["a", "b", "likeness"])
 
@@ -159,7 +186,7 @@ def similar_classes(df: DataFrame, key: str, owner: str, text: str) -> tuple[Dat
 
 def similar_pairs(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
     """(a, b), a < b: all pairs of rows of different owners whose texts are alike, members of one class included."""
-    members, links = similar_classes(df, key, owner, text)
+    members, links = similar_classes(df, key, owner, text, cross_owner=True)
     members = materialise(members, "members")
     several = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
     x, y = members.select(F.col("key").alias("x"), F.col("owner").alias("ox"), F.col("c").alias("a")), members.select(F.col("key").alias("y"), F.col("owner").alias("oy"), F.col("c").alias("b"))
