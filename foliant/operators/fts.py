@@ -6,6 +6,7 @@ hash of the term, a query reads only its own terms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -78,7 +79,7 @@ def bm25(index: Index, terms: list[str]) -> DataFrame:
     def count(p: list[str], f: str) -> Column:
         c = F.col(f"{f}{number[p[0]]}")
         for k, w in enumerate(p[1:], 1):
-            c = F.array_intersect(c, F.transform(F.col(f"{f}{number[w]}"), lambda x, k=k: x - k))
+            c = F.array_intersect(c, F.transform(F.col(f"{f}{number[w]}"), _back(k)))
         return F.size(c)
 
     distinct = [list(p) for p in dict.fromkeys(map(tuple, phrases))]
@@ -105,6 +106,10 @@ def bm25(index: Index, terms: list[str]) -> DataFrame:
     return x.select("id", (-score).alias("score"))
 
 
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
+
+
 def split_term(term: str) -> list[str]:
     """The words of a term as the index parts them."""
     import regex
