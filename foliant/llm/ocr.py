@@ -143,20 +143,20 @@ class Model:
             return a, next((p for v, p, _ in variants(w) if v == a), 0)
         if seen >= 12:
             return None
-        best, price = None, 0.0
-        base = self.spelling(w)
         one = variants(w)
-        for a, p, c in one + ([(a2, min(p, p2), c + c2 + 4.0) for a, p, c in one[:60] for a2, p2, c2 in variants(a)] if len(w) >= 6 and not seen else []):
-            n = self.words.get(a, 0) if a not in self.wrong else 0
-            gain = (math.log(n / (seen + 0.3)) + 4.0 if n >= 3 and n > 4 * seen else self.spelling(a) - base) - c
-            if n < 3 and (len(w) < 5 or not a.isalpha()):
-                continue
-            if gain > price:
-                best, price = (a, p), gain
-        digit = any(c.isdigit() for c in w) and any(c.islower() for c in w)
-        if best is None:
+        more = [(a2, min(p, p2), c + c2 + 4.0) for a, p, c in one[:60] for a2, p2, c2 in variants(a)] if len(w) >= 6 and not seen else []
+        # a word that the lexicon has outweighs any other spelling
+        known = [(math.log(n / (seen + 0.3)) + 4.0 - c, a, p) for a, p, c in one + more if a not in self.wrong and (n := self.words.get(a, 0)) >= 3 and n > 4 * seen]
+        if known and (best := max(known))[0] > 2.5:
+            return best[1:]
+        if len(w) < 5:
             return None
-        return best if price > (0.5 if digit else 2.5) else None
+        base = self.spelling(w)
+        spelled = [(self.spelling(a) - base - c, a, p) for a, p, c in one + more if a.isalpha()]
+        odd = any(c.isdigit() for c in w) and any(c.islower() for c in w)
+        if spelled and (best := max(spelled))[0] > (0.5 if odd else 2.5):
+            return best[1:]
+        return None
 
 
 def variants(w: str) -> list[tuple[str, int, float]]:
