@@ -93,11 +93,14 @@ class Model:
     wrong: dict[str, str] = field(default_factory=dict)
     heads: dict[str, int] = field(default_factory=dict)
     total: int = 1
+    names: tuple[str, ...] = ()
     memo: dict[str, tuple[str, int] | None] = field(default_factory=dict)
 
     def settle(self) -> Model:
         """Tell misreadings in the lexicon from words, and learn how words are spelled from the rest."""
         self.total = max(1, sum(self.words.values()))
+        # running lines of many results: their common beginnings, as shapes
+        self.names = tuple(sorted({x for k, n in self.headers.items() if n >= 8 and len(x := _shape(k)) >= 5}))
         for w, n in self.words.items():
             best = max((a for a, _, _ in variants(w) if a in self.words), key=lambda a: self.words[a], default=None)
             if best is not None and self.words[best] >= 8 * n and len(w) > 2:
@@ -135,9 +138,12 @@ class Model:
         return got
 
     def _meant(self, w: str) -> tuple[str, int] | None:
-        if len(w) < 3 or w.isdigit() or not any(c.isalpha() for c in w):
+        if len(w) < 2 or w.isdigit() or not any(c.isalpha() for c in w):
             return None
         seen = self.words.get(w, 0)
+        if len(w) == 2:  # only against a word that is everywhere
+            n, a, p = max(((self.words.get(a, 0), a, p) for a, p, _ in variants(w)), default=(0, "", 0))
+            return (a, p) if n >= 500 * (seen + 1) and w[1:] == w[1:].lower() else None
         if w in self.wrong:
             a = self.wrong[w]
             return a, next((p for v, p, _ in variants(w) if v == a), 0)
@@ -246,7 +252,7 @@ def _shape(line: str) -> str:
     return re.sub(r"[\W\d_]+", "", s)
 
 
-ALIKE = 0.86
+ALIKE, KEPT = 0.88, 0.4  # likeness of two running lines; share of the pages on which one is kept, if it alternates with another
 
 
 def _same(a: str, b: str) -> bool:
@@ -263,13 +269,12 @@ def furniture(pages: list[list[str]], model: Model) -> dict[tuple[int, int], str
     edges: list[list[tuple[int, str]]] = []
     for lines in pages:
         ink = [i for i, x in enumerate(lines) if x.strip()]
-        top = [(i, "top") for i in ink[:2]]
-        edges.append(top + [(i, "bottom") for i in ink[2:][-2:]])
+        edges.append([(i, "top") for i in ink[:2]] + [(i, "bottom") for i in ink[-2:]])
     out: dict[tuple[int, int], str] = {}
     # page numbers: the difference to the page's place must hold for the result
     found: list[tuple[int, int, int, bool]] = []
     for p, e in enumerate(edges):
-        for i, _ in e:
+        for i in sorted({i for i, _ in e}):
             line = pages[p][i].strip()
             closes = line.endswith((".", "。", ",", ";")) or line.endswith((")", "）")) and not line.startswith(("(", "（"))
             m = None if closes else _NUMBER.match(line)
@@ -279,38 +284,35 @@ def furniture(pages: list[list[str]], model: Model) -> dict[tuple[int, int], str
     votes = Counter(d for _, _, d, _ in {(p, 0, d, False) for p, _, d, _ in found})
     if votes:
         shift, n = max(votes.items(), key=lambda x: (x[1], -abs(x[0] - 1)))
-        if n >= 2 or len(pages) == 1 or shift == 1 or any(styled for _, _, d, styled in found if d == shift):
+        outer = any(i in (edges[p][0][0], edges[p][-1][0]) and d + p < 1000 for p, i, d, _ in found if d == shift)
+        if n >= 2 or shift == 1 or outer or any(styled for _, _, d, styled in found if d == shift):
             for p, i, d, _ in found:
                 if d == shift:
                     out[p, i] = "page_number"
     else:
         shift = None
     # running lines: like lines at the same edge of other pages
-    shapes = {(p, i): (side, _shape(pages[p][i])) for p, e in enumerate(edges) for i, side in e if (p, i) not in out}
-    keys = list(shapes)
+    lines = [((p, i, side), _shape(pages[p][i])) for p, e in enumerate(edges) for i, side in e if (p, i) not in out]
     mates: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for x in range(len(keys)):
-        side, s = shapes[keys[x]]
-        if len(s) < 2:
-            continue
-        for y in range(x):
-            other, t = shapes[keys[y]]
-            if keys[x][0] != keys[y][0] and side == other and _same(s, t):
-                mates[keys[x]].add(keys[y][0])
-                mates[keys[y]].add(keys[x][0])
-    for k in keys:
-        p, i = k
-        side, s = shapes[k]
-        together = len(mates[k]) + 1
-        name = header_name(pages[p][i])
-        ending = re.search(r"\s{2,}\W?(\d+)\W?$", pages[p][i].rstrip())
+    for x, ((p, i, side), s) in enumerate(lines):
+        for (q, j, other), t in lines[:x]:
+            if p != q and side == other and _same(s, t):
+                mates[p, i].add(q)
+                mates[q, j].add(p)
+    for p, i in sorted({(p, i) for (p, i, _), _ in lines}):
+        line = pages[p][i]
+        s, together = _shape(line), len(mates[p, i]) + 1
+        ending = re.search(r"\s{2,}\W?(\d+)\W?$", line.rstrip())
         numbered = shift is not None and ending is not None and int(ending[1]) - p == shift
-        known = model.headers.get(name, 0) >= 3 and len(pages[p][i]) < 80
-        flows = pages[p][i].rstrip().endswith((".", "。", ",", "，", "、", "／", "/")) or pages[p][i][:1].islower()
-        if flows and together < 0.6 * len(pages):
+        name = header_name(line)
+        short = len(line) < 80
+        known = short and (model.headers.get(name, 0) >= 3 or any(_shape(line).startswith(k) for k in model.names))
+        if (line.rstrip().endswith((".", "。", ",", "，", "、", "／", "/")) or line[:1].islower()) and together < 0.6 * len(pages):
             continue
-        if together >= max(2, 0.3 * len(pages)) and len(s) >= 4 or together >= 2 and (known or numbered) or numbered and s or known and i == edges[p][0][0] and model.headers.get(name, 0) >= 8 and not pages[p][i].rstrip().endswith((".", "。")):
-            out[k] = "running"
+        often = together >= max(2, KEPT * len(pages)) and len(s) >= (2 if together >= 0.6 * len(pages) else 4)
+        first = bool(edges[p]) and i in (edges[p][0][0], edges[p][1][0] if len(edges[p]) > 1 and (p, edges[p][0][0]) in out else -1)
+        if often or together >= 2 and (known or numbered) or numbered and s or known and first:
+            out[p, i] = "running"
     return out
 
 
