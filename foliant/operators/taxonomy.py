@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from foliant.providers import TextProvider
+
 # Fixed value: the category that every tree has.
 FALLBACK = "その他"
 SEPARATOR = " > "
@@ -46,3 +48,17 @@ def outlines(chunks: DataFrame, most: int = 5) -> DataFrame:
     h = chunks.where("heading_path is not null").select("document_id", "heading_path").distinct()
     g = h.groupBy("document_id").agg(F.sort_array(F.collect_set("heading_path")).alias("all"))
     return g.select("document_id", F.array_join(F.slice("all", 1, most), " | ").alias("outline"), F.size("all").cast("long").alias("headings"))
+
+
+def propose(outlines_: DataFrame, provider: TextProvider, most: int = 200) -> DataFrame:
+    """(top, child) as the provider proposes them from the outlines of `most` documents; its answer is {"categories": [{"name", "children"}]}."""
+    spark = outlines_.sparkSession
+    lines = [r["outline"] for r in outlines_.orderBy("document_id").limit(most).collect()]
+    got = provider.complete_json("\n".join(lines), ("categories",))["categories"]
+    rows = [(c["name"], k) for c in got for k in [*c.get("children", []), None]]
+    return spark.createDataFrame(rows, "top string, child string")
+
+
+def unclassified(documents: DataFrame) -> DataFrame:
+    """Documents that aren't archived and have no category."""
+    return documents.where("status <> 'archived' and category_id is null")

@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_DIRS: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,7 @@ def materialise(df: DataFrame, label: str = "stage") -> DataFrame:
     """Cut the lineage: write to the shared folder and read back. The copy outlives any executor."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     back = df.sparkSession.read.schema(df.schema).parquet(path)
     back._foliant_path = path
     return back
@@ -54,3 +56,12 @@ def discard(df: DataFrame | None) -> None:
         jvm = df.sparkSession._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all stages that this process has materialised, when no result that reads them is needed any more; how many there were."""
+    jvm, n = spark._jvm, len(_WRITTEN)
+    while _WRITTEN:
+        p = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return n

@@ -56,6 +56,12 @@ def counts(jobs: DataFrame, statuses: tuple[str, ...] = STATUSES, column: str =
     return jobs.groupBy().agg(*(F.count(F.when(F.col(column) == s, 1)).alias(s) for s in statuses))
 
 
+def any_recent(jobs: DataFrame, kind: str, statuses: tuple[str, ...] = ("queued", "running"), among: int = 20) -> bool:
+    """Whether one of the latest `among` jobs is of a kind and in one of the statuses."""
+    latest = jobs.orderBy(F.desc("created_at"), F.desc("id")).limit(among)
+    return bool(latest.agg(F.max((F.col("kind") == kind) & F.col("status").isin(*statuses))).first()[0])
+
+
 def stream_counts(spark: SparkSession, folder: str, name: str, checkpoint: str, view: str, column: str = "event_type") -> DataFrame:
     """Counts by a column of a table of event files, taken as a stream until all that is there is read. The table is a folder or one file."""
     schema = spark.read.parquet(f"{folder}/{name}").schema

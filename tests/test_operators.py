@@ -264,3 +264,26 @@ def test_taxonomy(spark):
     ans = spark.createDataFrame([("d1", "Top > Kid"), ("d2", "nope")], "document_id string, path string")
     got = {r["document_id"]: r["category_id"] for r in taxonomy.classify(ans, new).collect()}
     assert got["d1"] and got["d2"] is None
+
+
+def test_proposals_from_a_provider(spark):
+    class P(TextProvider):
+        def complete(self, prompt, max_tokens=4000):
+            return '{"categories": [{"name": "Rules", "children": ["Travel"]}]}' if "A > B" in prompt else "no"
+
+    docs = spark.createDataFrame([("d", "A > B", 1)], "document_id string, outline string, headings long")
+    assert sorted(rows(taxonomy.propose(docs, P()), "child"), key=str) == [("Rules", "Travel"), ("Rules", None)]
+    with pytest.raises(ProviderError):
+        taxonomy.propose(docs.withColumn("outline", F.lit("x")), P())
+    d = spark.createDataFrame([("a", "active", None), ("b", "archived", None), ("c", "active", "k")], "document_id string, status string, category_id string")
+    assert [r["document_id"] for r in taxonomy.unclassified(d).collect()] == ["a"]
+
+
+def test_materialised_stages_are_released(spark):
+    from foliant import runtime
+    from foliant.streaming.jobs import any_recent
+
+    df = runtime.materialise(spark.range(3))
+    assert df.count() == 3 and runtime.release(spark) >= 1
+    j = spark.createDataFrame([("1", "a", "queued", 1), ("2", "b", "done", 2)], "id string, kind string, status string, created_at long")
+    assert any_recent(j, "a") and not any_recent(j, "b") and not any_recent(j.where("false"), "a") and not any_recent(j, "a", among=1)

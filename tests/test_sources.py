@@ -123,3 +123,27 @@ def test_embedder_is_deterministic():
     e = HashingEmbedder(16)
     a, b = e.embed(["abc", "abc"])
     assert a == b and len(a) == 16 and e.embed([""])[0] != a
+
+
+def test_landing_folder_to_archive(spark, tmp_path):
+    from foliant.streaming import ingest as stream
+
+    land, arc = tmp_path / "land", str(tmp_path / "arc")
+    land.mkdir()
+    for name, data in {"a.docx": docx(), "again.docx": docx(), "b.xlsx": xlsx(), "bad.docx": b"no zip", "n.txt": b"t"}.items():
+        (land / name).write_bytes(data)
+    run = lambda: stream.watch(spark, str(land), arc, str(tmp_path / "cp"), lambda: 7, HashingEmbedder(8)).awaitTermination()
+    run()
+    v = spark.read.parquet(f"{arc}/versions")
+    got = {r["original_filename"]: r for r in v.collect()}
+    assert set(got) == {"a.docx", "b.xlsx", "bad.docx"} and got["bad.docx"]["error"].startswith("BadZipFile") and got["a.docx"]["markdown"].startswith("# 規程")
+    c = spark.read.parquet(f"{arc}/chunks")
+    assert c.count() == spark.read.parquet(f"{arc}/embeddings").count() > 2
+    (land / "late.docx").write_bytes(docx() + b" ")
+    run()
+    assert spark.read.parquet(f"{arc}/versions").count() == 4
+    rel = spark.read.parquet(f"{arc}/relations").collect()
+    assert [(r["kind"], r["status"]) for r in rel] == [("exact_dup", "open")]
+    n = spark.read.parquet(f"{arc}/chunks").count()
+    stream.ingest_batch(files.read_uploads(spark, str(land)), arc, 8)
+    assert spark.read.parquet(f"{arc}/versions").count() == 4 and spark.read.parquet(f"{arc}/chunks").count() == n
