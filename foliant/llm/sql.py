@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 _COUNTING = """SELECT a_version_id a, b_version_id b FROM document_relations
 WHERE a_version_id IS NOT NULL AND b_version_id IS NOT NULL AND a_version_id <> b_version_id AND coalesce(lower(trim(status)), '') <> 'dismissed'
 AND replace(lower(trim(kind)), '-', '_') IN ('exact_dup', 'near_dup', 'contained_in', 'revision_of')"""
@@ -36,3 +38,54 @@ c AS (SELECT section_id,
  FROM s)
 SELECT section_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN z THEN 'sentence' ELSE 'none' END AS boundary FROM c""",
 }
+
+
+def _lookalike_sql() -> str:
+    """p2_found with the look-alike table spelled out: characters mapped one to one, ligatures replaced, marks composed."""
+    from foliant.llm.lookalike import Mapper
+
+    Mapper.load()
+    swap = [(chr(o), chr(int(Mapper.one[o]))) for o in range(0x10000) if not Mapper.slow[o] and int(Mapper.one[o]) not in (0, o)]
+    swap += [("\uff9e", "\u3099"), ("\uff9f", "\u309a")]
+    drop = [chr(o) for o in range(1, 0x10000) if not Mapper.slow[o] and Mapper.one[o] == 0 and not 0xD800 <= o <= 0xDFFF]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    start, end = quoted("".join(a for a, _ in swap) + "".join(drop)), quoted("".join(b for _, b in swap))
+    text = "text"
+    for o in (*range(0xFB00, 0xFB07), *range(0x3040, 0x3100), *range(0x3300, 0x3358), 0x337F, 0x2026, 0x2122):
+        if Mapper.slow[o] and unicodedata.category(chr(o))[0] != "M":
+            text = f"replace({text}, {quoted(chr(o))}, {quoted(Mapper.value(chr(o)))})"
+    return f"""WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), v AS (SELECT chunk_id, text, nfc_normalize(translate({text}, {start}, {end})) AS v FROM c)
+SELECT a.chunk_id AS a_chunk_id, b.chunk_id AS b_chunk_id FROM v a JOIN v b ON a.v = b.v AND a.text <> b.text AND a.chunk_id < b.chunk_id"""
+
+
+def _leak_sql() -> str:
+    """p8_found by all windows of a passage's length: case and width folded by table, words by pattern."""
+    from foliant.llm.leaks import DROP, Chars
+
+    t = Chars.load()
+    swap = [(chr(o), chr(int(t.fold[o]))) for o in range(0x10000) if not t.slow[o] and t.kind[o] != DROP and int(t.fold[o]) != o]
+    swap += [("\uff9e", "\u3099"), ("\uff9f", "\u309a")]
+    drop = [chr(o) for o in range(1, 0x10000) if t.kind[o] == DROP and not t.slow[o]]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    start, end = quoted("".join(a for a, _ in swap) + "".join(drop)), quoted("".join(b for _, b in swap))
+    text = "text"
+    for o in (0xDF, 0x1E9E, *range(0xFB00, 0xFB07)):
+        text = f"replace({text}, {quoted(chr(o))}, {quoted(unicodedata.normalize('NFKC', chr(o)).casefold())})"
+    fold = f"nfc_normalize(translate({text}, {start}, {end}))"
+    wide = r"[\p{Han}\p{Hiragana}\p{Katakana}ー]"
+    word = rf"{wide}+|[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\p{{Hangul}}\p{{N}}]+"
+    return rf"""WITH d AS (SELECT doc_id, {fold} AS f FROM documents), i AS (SELECT item_id, {fold} AS f FROM eval_items),
+it AS (SELECT item_id, len(regexp_extract_all(f, '{wide}')) * 2 > len(regexp_extract_all(f, '[\p{{L}}\p{{N}}]')) AS wide, array_to_string(regexp_extract_all(f, '[\p{{L}}\p{{N}}]'), '') AS c, regexp_extract_all(f, '{word}') AS w FROM i),
+iw AS (SELECT item_id, wide, CASE WHEN wide THEN length(c) ELSE len(w) END AS n, CASE WHEN wide THEN 20 ELSE 8 END AS k, unnest(range(1, CASE WHEN wide THEN length(c) - 18 ELSE len(w) - 6 END)) AS q, c, w FROM it),
+ig AS (SELECT item_id, wide, n, k, q, CASE WHEN wide THEN substring(c, q, 20) ELSE array_to_string(list_slice(w, q, q + 7), ' ') END AS g FROM iw),
+ds AS (SELECT doc_id, array_to_string(regexp_extract_all(f, '[\p{{L}}\p{{N}}]'), '') AS c, regexp_extract_all(f, '{word}') AS w FROM d),
+dg AS (SELECT doc_id, true AS wide, unnest(list_transform(range(1, length(c) - 18), lambda p: substring(c, p, 20))) AS g FROM ds UNION ALL
+ SELECT doc_id, false, unnest(list_transform(range(1, len(w) - 6), lambda p: array_to_string(list_slice(w, p, p + 7), ' '))) FROM ds),
+m AS (SELECT DISTINCT doc_id, item_id, n, k, q FROM dg JOIN ig ON dg.wide = ig.wide AND dg.g = ig.g),
+v AS (SELECT DISTINCT doc_id, item_id, n, unnest(range(q, q + k)) AS x FROM m)
+SELECT doc_id, item_id FROM v GROUP BY doc_id, item_id, n HAVING count(*) * 2 >= n"""
+
+
+def oracles() -> dict[str, str]:
+    """All counterparts; two hold character tables that are built on demand."""
+    return {**ORACLES, "p2_found": _lookalike_sql(), "p8_found": _leak_sql()}
