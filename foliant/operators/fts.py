@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions.segment import WORD, words
+from foliant.runtime import materialise
 
 # Weights of title, heading and body; BM25 parameters.
 WEIGHTS = {"title": 5.0, "heading": 3.0, "body": 1.0}
@@ -31,6 +32,10 @@ class Index:
         self.postings.repartition("bucket").sortWithinPartitions("term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
+    def materialised(self) -> Index:
+        """The index written once to the shared folder, for queries of one session."""
+        return Index(materialise(self.postings, "postings"), materialise(self.lengths, "lengths"))
+
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
@@ -87,15 +92,13 @@ def bm25(index: Index, terms: list[str]) -> DataFrame:
         per = per.withColumn(f"f{i}", sum((count(p, f) * w for f, w in WEIGHTS.items()), F.lit(0.0))).where(F.col(f"f{i}") > 0)
     per = per.select("id", *(f"f{i}" for i in range(len(distinct))))
     stats = index.lengths.agg(F.count("*").alias("N"), F.avg("tokens").alias("avgdl"))
-    # entries that hold each phrase: for single words the number of postings
-    seen = []
-    for p in distinct:
-        q = hits.where(F.col("term").isin(p)).groupBy("id").agg(F.countDistinct("term").alias("n"), *(pick(w, f).alias(f"{f}{number[w]}") for w in p for f in WEIGHTS)).where(F.col("n") == len(p))
-        seen.append(q.where(sum((count(p, f) for f in WEIGHTS), F.lit(0)) > 0).agg(F.count("*").alias("n")).withColumn("i", F.lit(len(seen))))
-    df = seen[0]
-    for s in seen[1:]:
-        df = df.unionByName(s)
-    wide = df.groupBy().agg(*(F.max(F.when(F.col("i") == i, F.col("n"))).alias(f"n{i}") for i in range(len(distinct))))
+    # entries that hold each phrase: postings are counted for single words, positions compared for longer ones
+    single = {i: p[0] for i, p in enumerate(distinct) if len(p) == 1}
+    wide = hits.groupBy().agg(F.count("*").alias("postings"), *(F.count(F.when(F.col("term") == w, 1)).alias(f"n{i}") for i, w in single.items()))
+    for i, p in enumerate(distinct):
+        if i not in single:
+            q = hits.where(F.col("term").isin(p)).groupBy("id").agg(F.countDistinct("term").alias("n"), *(pick(w, f).alias(f"{f}{number[w]}") for w in dict.fromkeys(p) for f in WEIGHTS)).where(F.col("n") == len(set(p)))
+            wide = wide.join(F.broadcast(q.where(sum((count(p, f) for f in WEIGHTS), F.lit(0)) > 0).agg(F.count("*").alias(f"n{i}"))), F.lit(True))
     x = per.join(index.lengths, "id").join(F.broadcast(stats), F.lit(True)).join(F.broadcast(wide), F.lit(True))  # two frames of one row
     score = F.lit(0.0)
     for p in phrases:

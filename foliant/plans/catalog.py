@@ -193,7 +193,7 @@ def frequent_words(spark: SparkSession, d: str) -> DataFrame:
 
 def annotated_lines(spark: SparkSession, d: str) -> DataFrame:
     v = reports.once(table(spark, d, "document_versions"), "version_id")
-    return chunk.annotate_lines(v, "version_id", "markdown")
+    return chunk.annotate_lines(v, "version_id", "markdown").withColumn("page", F.col("page").cast("string"))
 
 
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
@@ -221,7 +221,7 @@ def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _keyword(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, visible = _chunks(spark, d)
-    return fts.bm25(fts.build_index(c, "chunk_id", "title", "heading_path", "text"), QUERY), visible
+    return fts.bm25(fts.build_index(spread(c), "chunk_id", "title", "heading_path", "text").materialised(), QUERY), visible
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:

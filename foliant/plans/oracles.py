@@ -68,7 +68,27 @@ cs AS (SELECT chunk_id, CASE WHEN len(list_filter(v, lambda x: x <> 0)) = 0 THEN
 _CURRENT = f"""cur AS (SELECT v.version_id, v.document_id, v.markdown FROM {VERSIONS} v JOIN managed_documents d ON d.document_id = v.document_id AND d.current_version_id = v.version_id
 WHERE d.status <> 'archived' AND v.markdown IS NOT NULL AND v.markdown <> '')"""
 
+_w = "OVER (PARTITION BY key ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
+_LINES = rf"""WITH v AS (SELECT version_id AS key, string_split(markdown, chr(10)) AS ls FROM {VERSIONS} WHERE markdown IS NOT NULL),
+l AS (SELECT key, unnest(ls) AS text, unnest(range(0, len(ls)))::INTEGER AS line_no FROM v),
+m AS (SELECT *, length(regexp_extract(text, '^(#{{1,6}})\s+(.*)$', 1)) AS lv, trim(regexp_extract(text, '^(#{{1,6}})\s+(.*)$', 2)) AS nm, regexp_extract(trim(text), '^<!--\s*(page|slide|sheet):\s*(.+?)\s*-->$', 1) AS kind, regexp_extract(trim(text), '^<!--\s*(page|slide|sheet):\s*(.+?)\s*-->$', 2) AS val FROM l),
+n AS (SELECT *, kind IN ('page', 'slide') AND regexp_full_match(val, '\d+') AS pg FROM m),
+h AS (SELECT *, {", ".join(f"last_value(CASE WHEN lv = {k} THEN nm END IGNORE NULLS) {_w} AS n{k}, coalesce(last_value(CASE WHEN lv = {k} THEN line_no END IGNORE NULLS) {_w}, -1) AS a{k}" for k in range(1, 7))},
+ last_value(CASE WHEN pg THEN val::INTEGER END IGNORE NULLS) {_w} AS page, last_value(CASE WHEN kind = 'sheet' THEN val END IGNORE NULLS) {_w} AS sheet,
+ last_value(CASE WHEN lv > 0 THEN line_no END IGNORE NULLS) {_w} AS ta, last_value(CASE WHEN lv > 0 THEN nm END IGNORE NULLS) {_w} AS tn FROM n),
+p AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN a{k} >= 0 AND a{k} >= greatest(-1, {', '.join(f'a{j}' for j in range(1, k)) or '-1'}) THEN n{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS path,
+ left(regexp_replace(regexp_replace(lower(tn), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM h)
+SELECT key, line_no, text, nullif(path, '') AS heading_path, CASE WHEN ta IS NOT NULL THEN 'h-' || ta || '-' || CASE WHEN slug = '' THEN 'section' ELSE slug END END AS heading_anchor, page::VARCHAR AS page, sheet FROM p WHERE NOT (pg OR kind = 'sheet')"""
+
+_CANDIDATES = rf"""WITH c AS (SELECT chunk_id AS id, document_id, {_words("text")} AS w FROM {CHUNKS} WHERE regexp_matches(text, '[0-9]+ ?(円|万円|%|％|件|名|日|年)|per cent|ceiling|以上|原則|上限')),
+s AS (SELECT id, document_id, list_sort(list_distinct({_shingles("w")})) AS s FROM c WHERE len(w) > 0), o AS (SELECT min(id) AS id, s FROM s GROUP BY s),
+u AS (SELECT o.id, s.document_id, len(o.s) AS n, unnest(o.s) AS g FROM o JOIN s ON s.id = o.id),
+p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS t, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id AND a.document_id <> b.document_id GROUP BY ALL)
+SELECT a, b, round(k::DOUBLE / (t - k), 6) AS jaccard FROM p WHERE k::DOUBLE / (t - k) >= 0.12 ORDER BY k::DOUBLE / (t - k) DESC, a, b LIMIT 60"""
+
 ORACLES: dict[str, str] = {
+    "annotated_lines": _LINES,
+    "contradiction_candidates": _CANDIDATES,
     "list_documents": f"""SELECT d.document_id, d.title, d.doc_type, v.version_no, v.conversion_engine, v.conversion_confidence, coalesce(n.chunk_count, 0) AS chunk_count, d.created_at
 FROM managed_documents d LEFT JOIN {VERSIONS} v ON v.version_id = d.current_version_id
 LEFT JOIN (SELECT document_id, count(DISTINCT chunk_id) AS chunk_count FROM chunks GROUP BY document_id) n ON n.document_id = d.document_id WHERE d.status <> 'archived'""",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -18,11 +19,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_MOVES_ROWS = re.compile(r"(?m)^[\s+:-]*(Join|Aggregate|Window|Sort|Distinct|Deduplicate|Repartition\w*|RebalancePartitions)\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all task slots for a scan that has fewer splits than there are slots.
 
-    A cluster-sized input has more splits than slots and passes through unchanged, without a shuffle.
+    A cluster-sized input has more splits than slots and passes through unchanged, without a shuffle; so does a plan that
+    shuffles anyway, since asking for its partitions would run it.
     """
+    if _MOVES_ROWS.search(df._jdf.queryExecution().optimizedPlan().toString()):
+        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= slots else df.repartition(slots)
 
