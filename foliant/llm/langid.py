@@ -226,7 +226,8 @@ def _viterbi(bits: np.ndarray, doc: np.ndarray) -> np.ndarray:
 def analyse(trees: Trees, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """Segments of the texts data[offsets[i]:offsets[i + 1]]: (text index, start, end, language index, confidence, whether it is a full sentence)."""
     n = len(offsets) - 1
-    cuts = np.unique(np.concatenate([_ends(data), offsets]))
+    cuts = np.sort(np.concatenate([_ends(data), offsets]))
+    cuts = cuts[np.r_[True, cuts[1:] != cuts[:-1]]]
     start, end = cuts[:-1], cuts[1:]
     if not len(start):
         z = np.zeros(0, dtype=np.int64)

@@ -111,20 +111,16 @@ def _likeness(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common)
 
 
-class Sets:
-    """Run sets of the texts met last; a text comes up once for each pair that it is in."""
-
-    def __init__(self, most: int = 1_000) -> None:
-        self.most, self.held = most, {}
-
-    def get(self, c: int, z: bytes) -> np.ndarray:
-        got = self.held.pop(c, None)
-        if got is None:
-            got = np.unique(_runs([zlib.decompress(z).decode("utf-8", "surrogatepass")])[0])
-            if len(self.held) >= self.most:
-                self.held.pop(next(iter(self.held)))
-        self.held[c] = got
-        return got
+def _sets(texts: dict[int, bytes]) -> dict[int, np.ndarray]:
+    """The run set of each compressed text, sorted; all texts hashed in one go."""
+    if not texts:
+        return {}
+    h, start = _runs([zlib.decompress(z).decode("utf-8", "surrogatepass") for z in texts.values()])
+    out = {}
+    for c, x, y in zip(texts, start.tolist(), [*start[1:].tolist(), len(h)]):
+        own = np.sort(h[x:y])
+        out[c] = own[np.r_[True, own[1:] != own[:-1]]]
+    return out
 
 
 def _prepared(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
@@ -173,10 +169,13 @@ def similar_classes(df: DataFrame, key: str, owner: str, text: str, cross_owner:
     texts = prepared.groupBy("c").agg(F.first("z").alias("z"))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = Sets()
-        for batch in batches:
+        sets: dict[int, np.ndarray] = {}
+        for batch in (whole.slice(k, 500) for whole in batches for k in range(0, len(whole), 500)):
             a, b, za, zb = (batch.column(i).to_pylist() for i in range(4))
-            like = np.array([_likeness(sets.get(i, x), sets.get(j, y)) for i, j, x, y in zip(a, b, za, zb)], dtype=np.float64)
+            texts = dict(zip(a, za)) | dict(zip(b, zb))
+            sets = {c: x for c, x in sets.items() if c in texts}  # what the part before had as well
+            sets |= _sets({c: z for c, z in texts.items() if c not in sets})
+            like = np.array([_likeness(sets[i], sets[j]) for i, j in zip(a, b)], dtype=np.float64)
             keep = pa.array(like >= ALIKE)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(like).filter(keep)], names=["a", "b", "likeness"])
 
