@@ -38,21 +38,24 @@ def representatives(current: DataFrame) -> DataFrame:
 def band_keys(h: Column, bands: int = 9, free: int = 1, bits: int = 48) -> Column:
     """Keys of which two hashes share one if they differ in at most bands - free bits: the values of every `free` of the bands.
 
-    More bands with more of them in a key cost more keys and leave smaller buckets; use (11, 3) beyond some hundred thousand rows.
+    More bands with more of them in a key cost more keys and leave smaller buckets; (10, 2) suits hundreds of thousands of rows, (11, 3) tens of millions.
     """
     edges = [round(i * bits / bands) for i in range(bands + 1)]
     part = [F.shiftright(h, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(edges, edges[1:])]
     return F.array(*(F.xxhash64(F.lit(i), *(part[j] for j in pick)) for i, pick in enumerate(combinations(range(bands), free))))
 
 
-def near_pairs(reps: DataFrame, distance: int = DISTANCE, bands: int | None = None, free: int = 1) -> DataFrame:
+def near_pairs(reps: DataFrame, distance: int = DISTANCE, bands: int | None = None, free: int = 2) -> DataFrame:
     """(a, b, hamming) of representatives of different documents, a < b: exact for the given distance by the pigeonhole principle.
 
     Rows of one hash are one point: the distance join runs between distinct hashes, membership is joined afterwards.
     """
     n = bands or distance + free
-    points = reps.select("simhash").distinct()
-    keyed = points.select("simhash", F.explode(band_keys(F.col("simhash"), n, free)).alias("k"))
+    # few bytes but many comparisons: a stated number of partitions isn't merged by size
+    spark = reps.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    points = reps.select("simhash").distinct().repartition(parts, "simhash")
+    keyed = points.select("simhash", F.explode(band_keys(F.col("simhash"), n, free)).alias("k")).repartition(parts, "k")
     a, b = keyed.alias("a"), keyed.alias("b")
     near = a.join(b, F.expr(f"a.k = b.k and a.simhash < b.simhash and bit_count(a.simhash ^ b.simhash) <= {distance}")).select(F.col("a.simhash").alias("x"), F.col("b.simhash").alias("y")).distinct()
     several = reps.groupBy("simhash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("simhash").alias("x"), F.col("simhash").alias("y"))

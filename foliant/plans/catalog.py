@@ -15,7 +15,7 @@ from foliant.functions.text import accepted, extension, mime_type, strip_anchors
 from foliant.operators import chunk, contradiction, dedupe, diff, fts, hybrid, ingest, taxonomy, vector
 from foliant.plans import reports
 from foliant.providers import HashingEmbedder
-from foliant.runtime import spread, table
+from foliant.runtime import materialise, spread, table
 from foliant.streaming import jobs
 
 NOW = 1_767_225_600_000
@@ -292,7 +292,7 @@ def simhash_values(spark: SparkSession, d: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Kind and score for all pairs of different contents whose hashes are near."""
-    reps = dedupe.representatives(_current(spark, d))
+    reps = materialise(dedupe.representatives(_current(spark, d)), "contents")
     x = dedupe.classify(dedupe.near_pairs(reps), reps)
     return x.select("a", "b", "kind", F.round("score", 6).alias("score"), "hamming")
 

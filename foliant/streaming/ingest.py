@@ -52,7 +52,7 @@ def ingest_batch(uploads: DataFrame, archive: str, now: int, embedder: Embedding
     everything = spark.read.parquet(f"{archive}/versions").where("markdown is not null and markdown <> ''").select("version_id", "document_id", "markdown", "created_at")
     equal = dedupe.exact_classes(everything).where("copies > 1 and version_id <> first_version_id")
     exact = equal.select(F.col("first_version_id").alias("a"), F.col("version_id").alias("b"), F.lit("exact_dup").alias("kind"), F.lit(1.0).alias("score"), F.lit("{}").alias("evidence"))
-    reps = dedupe.representatives(everything)
+    reps = materialise(dedupe.representatives(everything), "contents")
     near = dedupe.classify(dedupe.near_pairs(reps), reps).select("a", "b", "kind", "score", F.to_json(F.struct("hamming", "jaccard", "containment")).alias("evidence"))
     old = _table(spark, f"{archive}/relations", "relation_id string, a string, b string, kind string, score double, evidence string, status string, detected_at long")
     merged = materialise(dedupe.upsert_relations(old, exact.unionByName(near), now), "relations")
