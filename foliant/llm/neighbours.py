@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 DIM, K = 64, 5
-ORDERINGS, AXES, BITS, WINDOW, BLOCK = 16, 12, 5, 96, 256
+ORDERINGS, AXES, BITS, WINDOW, BLOCK = 20, 12, 5, 128, 256
 SEED = 20_240_501
 
 
