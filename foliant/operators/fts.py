@@ -32,10 +32,6 @@ class Index:
         self.postings.repartition("bucket").sortWithinPartitions("term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
 
-    def materialised(self) -> Index:
-        """The index written once to the shared folder, for queries of one session."""
-        return Index(materialise(self.postings, "postings"), materialise(self.lengths, "lengths"))
-
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
         return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
@@ -51,9 +47,15 @@ def _tokens(c: Column, profile: str) -> Column:
     return w if profile == "simple" else F.flatten(F.transform(w, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
 
 
-def build_index(entries: DataFrame, key: str, title: str, heading: str, body: str, profile: str = "simple") -> Index:
-    """Index of entries with three text fields; null fields are empty. Repeated keys are taken once."""
+def build_index(entries: DataFrame, key: str, title: str, heading: str, body: str, profile: str = "simple", keep: bool = False) -> Index:
+    """Index of entries with three text fields; null fields are empty. Repeated keys are taken once.
+
+    The postings are a plan: a query pushes its terms below their grouping. `keep` writes the words of all entries to the
+    shared folder first, so that several passes over the index part the texts once.
+    """
     t = entries.select(F.col(key).alias("id"), *(_tokens(F.col(c), profile).alias(f) for f, c in zip(WEIGHTS, (title, heading, body)))).dropDuplicates(["id"])
+    if keep:
+        t = materialise(t, "words")
     flat = t.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in WEIGHTS))).alias("x")).select("id", "x.field", F.posexplode("x.words").alias("pos", "term"))
     at = lambda f: F.sort_array(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f)  # noqa: E731 - positions of one term in one entry
     postings = flat.groupBy("term", "id").agg(*(at(f) for f in WEIGHTS)).withColumn("bucket", _bucket(F.col("term")))

@@ -221,7 +221,7 @@ def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _keyword(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, visible = _chunks(spark, d)
-    return fts.bm25(fts.build_index(spread(c), "chunk_id", "title", "heading_path", "text").materialised(), QUERY), visible
+    return fts.bm25(fts.build_index(c, "chunk_id", "title", "heading_path", "text", keep=True), QUERY), visible
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
