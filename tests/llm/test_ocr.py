@@ -88,3 +88,34 @@ def test_fit_and_repair_in_spark(spark):
     assert len(got) == 15 and got["n"]["defects"] == [] and [(d["page_no"], d["line_no"], d["defect"]) for d in got["x"]["defects"]] == [(2, 1, "misread")]
     empty = df.where("false")
     assert ocr.repair_results(empty, ocr.fit(empty)).count() == 0
+
+
+def test_planted_misreadings_are_found(spark):
+    import os
+    import re
+
+    path = "/root/testdata/sf0.1/conversion_results.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    df = spark.read.parquet(path)
+    m = ocr.fit(df)
+    r = random.Random(11)
+    pairs = [p.split() for p in ("e c", "t f", "o 0", "n ri", "i l", "u ii", "l 1", "s 5", "h b", "m rn", "ー 一", "ロ 口", "タ 夕")]
+    hit = missed = extra = 0
+    for row in df.orderBy("version_id").limit(400).collect():
+        pages = [p or "" for p in row["page_texts"]]
+        clean = ocr.repair(pages, m).defects
+        if any(d == "misread" for _, _, d in clean):
+            continue
+        marked = {(p, i) for p, i, _ in clean}
+        split, planted = [p.split("\n") for p in pages], set()
+        for p, lines in enumerate(split):
+            for i, line in enumerate(lines):
+                found = [(w.start() + w[0].index(a), a, b) for w in re.finditer(r"[^\W\d_]{4,}", line) for a, b in pairs if a in w[0]]
+                if found and (p + 1, i + 1) not in marked and r.random() < 0.2:
+                    k, a, b = r.choice(found)
+                    lines[i] = line[:k] + b + line[k + 1 :]
+                    planted.add((p + 1, i + 1))
+        got = {(p, i) for p, i, d in ocr.repair(["\n".join(x) for x in split], m).defects if d == "misread"}
+        hit, missed, extra = hit + len(got & planted), missed + len(planted - got), extra + len(got - planted)
+    assert hit > 500 and hit / (hit + missed) >= 0.97 and hit / (hit + extra) >= 0.99, (hit, missed, extra)
