@@ -1,9 +1,7 @@
-"""The k most similar vectors of every vector: shifted Hilbert curves.
+"""The k most similar vectors of every vector, by comparing all with all.
 
-Each ordering projects the unit vectors to a few random axes, shifts the grid and numbers its cells along a Hilbert curve.
-Vectors that are close tend to be close on a curve; what one curve tears apart another keeps together. Spark
-range-partitions each ordering; within a partition, every vector is compared exactly with those in a window around it. The
-windows' best lists are merged and reranked over all orderings.
+The different vectors are dealt into groups; every pair of groups meets in one task, which compares all their vectors in
+blocks by matrix product and keeps the k best of each row. No neighbour is missed, however dense the vectors lie.
 """
 
 from __future__ import annotations
@@ -14,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from foliant.runtime import materialise
+
 DIM, K = 64, 5
-ORDERINGS, AXES, BITS, WINDOW, BLOCK = 20, 12, 5, 128, 256
-SEED = 20_240_501
+BLOCK = 128
+SMALL, LARGE = 2_048, 65_536  # vectors of a group: no more groups than slots need while they are that small, never larger ones
 
 
 def hilbert_keys(q: np.ndarray, bits: int) -> np.ndarray:
@@ -49,17 +49,6 @@ def hilbert_keys(q: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
-def _cells(unit: np.ndarray, ordering: int, axes: int, bits: int) -> np.ndarray:
-    """Grid cells of one ordering: random orthogonal axes, coordinates spread evenly by the normal law, a random shift of the grid."""
-    rng = np.random.default_rng(SEED + ordering)
-    dim = unit.shape[1]
-    frame = np.linalg.qr(rng.standard_normal((dim, min(axes, dim))))[0]
-    y = unit @ frame * np.sqrt(dim)
-    even = 1.0 / (1.0 + np.exp(-1.702 * y))
-    even = np.clip(even + (rng.random(frame.shape[1]) - 0.5) / 4, 0, 1 - 1e-9)
-    return (even * (1 << bits)).astype(np.uint32)
-
-
 def usable(vectors: DataFrame, key: str, vector: str, dim: int = DIM) -> DataFrame:
     """(id, v): one row for each key whose vector has `dim` finite values, not all zero."""
     rows = vectors.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
@@ -71,100 +60,110 @@ def _ok(v: str, dim: int) -> Column:
     return (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
 
 
-def _best(unit: np.ndarray, ids: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """For rows in curve order, the k most similar within the window: neighbour ids (-1: none) and cosines."""
-    n = len(ids)
-    nb, sim = np.full((n, k), -1, dtype=np.int64), np.full((n, k), -2.0, dtype=np.float32)
-    for a in range(0, n, BLOCK):
-        b, lo = min(a + BLOCK, n), max(0, a - window)
-        hi = min(n, b + window)
-        s = unit[a:b] @ unit[lo:hi].T
-        i, j = np.arange(a, b)[:, None], np.arange(lo, hi)[None, :]
-        s[(np.abs(i - j) > window) | (i == j)] = -2.0
-        m = min(k, s.shape[1])
-        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-        vals = np.take_along_axis(s, top, 1)
-        nb[a:b, :m] = np.where(vals > -2.0, ids[lo:hi][top], -1)
-        sim[a:b, :m] = vals
-    return nb, sim
-
-
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, orderings: int = ORDERINGS, axes: int = AXES, bits: int = BITS, window: int = WINDOW) -> DataFrame:
+class _Top:
+    """The k best (row, other, cosine) of each of n rows so far, ties by smaller id of the other; at `least` or more."""
+
+    def __init__(self, n: int, k: int, least: float) -> None:
+        self.k, self.bound = k, np.full(n, least)
+        self.row, self.other, self.sim = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+
+    def add(self, row: np.ndarray, other: np.ndarray, sim: np.ndarray) -> None:
+        if not len(row):
+            return
+        row, other, sim = np.concatenate([self.row, row]), np.concatenate([self.other, other]), np.concatenate([self.sim, sim])
+        order = np.lexsort((other, -sim, row))
+        row, other, sim = row[order], other[order], sim[order]
+        first = np.concatenate([[True], row[1:] != row[:-1]])
+        place = np.arange(len(row)) - np.maximum.accumulate(np.where(first, np.arange(len(row)), 0))
+        full = place == self.k - 1
+        self.bound[row[full]] = sim[full]
+        keep = place < self.k
+        self.row, self.other, self.sim = row[keep], other[keep], sim[keep]
+
+
+def _compare(ia: np.ndarray, ua: np.ndarray, ib: np.ndarray, ub: np.ndarray, k: int, least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(id, neighbour, cosine): the k best in b for every row of a, and in a for every row of b, by comparing all with all. The same array of ids twice: within one group."""
+    one = ia is ib
+    back = _Top(len(ib), k, least)
+    for at in range(0, len(ia), BLOCK):
+        s = ua[at : at + BLOCK] @ ub.T
+        if one:
+            s[np.arange(len(s)), np.arange(at, at + len(s))] = -2.0
+        there = _Top(len(s), k, least)
+        some = s[:, :: max(1, s.shape[1] // 512)]
+        if some.shape[1] >= k:  # no row's k best lie below the k best of some of the others
+            there.bound = np.maximum(there.bound, np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k])
+        i, j = np.nonzero(s >= there.bound[:, None])
+        x = s[i, j]
+        real = x > -2.0
+        there.add(i[real], ib[j[real]], x[real])
+        yield ia[at + there.row], there.other, there.sim
+        if not one:
+            i, j = np.nonzero(s >= back.bound)
+            back.add(j, ia[at + i], s[i, j])
+    if not one:
+        yield ib[back.row], back.other, back.sim
+
+
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, least: float = -1.5) -> DataFrame:
     """(id, neighbour, cosine, rank): for every usable vector its k most similar others, best first, ties by smaller key.
 
     Left out: null keys, vectors that are null, of another length, all zero or with a null, NaN or infinite value. Each key takes
-    part once. Copies of one vector are one point on the curves, however many there are, and become each other's
-    neighbours afterwards (the first k + 1 of a class serve the rest). A cosine is computed in single precision.
+    part once. Copies of one vector are compared once, however many there are, and become each other's neighbours
+    afterwards (the first k + 1 of a class serve the rest). A cosine is computed in double precision and given in
+    single. With `least`, neighbours of a lower cosine may be missing. The work grows with the square of the number of different vectors.
     """
     pts = usable(vectors, key, vector, dim)
     tagged = pts.withColumn("c", F.xxhash64("v"))
     ranked = tagged.select("id", "c").withColumn("r", F.row_number().over(Window.partitionBy("c").orderBy("id"))).where(F.col("r") <= k + 1)
-    heads = ranked.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("first"))  # at most k + 1 a class
-    sizes = tagged.groupBy("c").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("v").alias("v"))
-    reps = sizes.select("c", "v")
-
-    def orders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            raw = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, dim)
-            unit = raw / np.abs(raw).max(1, keepdims=True)
-            unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
-            c = batch.column(0)
-            mix = (c.to_numpy(zero_copy_only=False).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)).astype(np.int32)
-            packed = pa.array([r.tobytes() for r in unit], type=pa.binary())
-            for s in range(orderings):
-                curve = hilbert_keys(_cells(unit, s, axes, bits), bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, dtype=np.int32)), pa.array(curve), pa.array(mix), c, packed], names=["o", "curve", "mix", "c", "u"])
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, np.ndarray, np.ndarray]] = []
-
-        def flush() -> pa.RecordBatch:
-            ids = np.concatenate([h[1] for h in held])
-            unit = np.concatenate([h[2] for h in held])
-            nb, sim = _best(unit, ids, k, window)
-            off = pa.array(np.arange(0, len(ids) * k + 1, k, dtype=np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(off, pa.array(nb.ravel())), pa.ListArray.from_arrays(off, pa.array(sim.ravel()))], names=["c", "nb", "sim"])
+    heads = ranked.groupBy("c").agg(F.sort_array(F.collect_list("id")).alias("first")).withColumn("head", F.col("first")[0])  # at most k + 1 a class
+    reps = materialise(tagged.groupBy("c").agg(F.min("id").alias("head"), F.first("v").alias("v")).select("head", "v"), "vectors")
+    n, slots = reps.count(), reps.sparkSession.sparkContext.defaultParallelism
+    groups = max(1, min(slots + 2, -(-n // SMALL)), -(-n // LARGE))
+
+    # every pair of groups meets in one place
+    g, h = F.pmod(F.xxhash64("head"), F.lit(groups)), F.col("h")
+    rows = reps.select("head", "v", g.cast("int").alias("g")).select("head", "v", "g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("h"))
+    rows = rows.select((F.least("g", h).cast("long") * groups + F.greatest("g", h)).alias("p"), "g", "head", "v")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            g, ids, raw = (np.concatenate([h[i] for h in held]) for i in (1, 2, 3))
+            unit = raw.astype(np.float64)
+            unit /= np.abs(unit).max(1, keepdims=True)
+            unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            a, b = divmod(held[0][0], groups)
+            ia, ua = ids[g == a], unit[g == a]
+            ib, ub = (ia, ua) if a == b else (ids[g == b], unit[g == b])
+            if len(ia) and len(ib):
+                for row, other, sim in _compare(ia, ua, ib, ub, k, least):
+                    yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(other), pa.array(-sim)], names=["head", "nb", "far"])
 
         for batch in batches:
             if not len(batch):
                 continue
-            o = batch.column(0).to_numpy()
-            ids = batch.column(3).to_numpy()
-            unit = np.frombuffer(b"".join(batch.column(4).to_pylist()), dtype=np.float32).reshape(len(batch), dim)
-            for s in np.unique(o):
-                at = o == s
+            p, g, ids = (batch.column(i).to_numpy() for i in range(3))
+            raw = batch.column(3).flatten().to_numpy(zero_copy_only=False).reshape(len(batch), dim)
+            for s in np.unique(p):
+                at = p == s
                 if held and held[0][0] != s:
-                    yield flush()
+                    yield from flush()
                     held.clear()
-                held.append((int(s), ids[at], unit[at]))
-                if sum(len(h[1]) for h in held) >= 50_000:
-                    yield flush()
-                    tail = np.concatenate([h[1] for h in held])[-window:], np.concatenate([h[2] for h in held])[-window:]
-                    held[:] = [(int(s), *tail)]  # the next part sees the window before it
+                held.append((int(s), g[at], ids[at], raw[at]))
         if held:
-            yield flush()
-
-    lists = (
-        reps.mapInArrow(orders, "o int, curve long, mix int, c long, u binary")
-        .repartitionByRange("o", "curve", "mix")
-        .sortWithinPartitions("o", "curve", "mix")
-        .mapInArrow(windows, "c long, nb array<long>, sim array<float>")
-    )
-    # merge: distinct neighbours of all windows, best first, ties by key
-    near = F.transform(F.arrays_zip("nb", "sim"), lambda x: F.struct((-x["sim"]).alias("far"), x["nb"].alias("nb")))
-    pairs = lists.select("c", F.explode(F.filter(near, lambda x: x["nb"] != F.lit(-1))).alias("x")).groupBy("c", F.col("x.nb").alias("nb")).agg(F.min("x.far").alias("far"))
-    ids = sizes.select(F.col("c").alias("nb"), F.col("id").alias("first_id"))
-    top = pairs.join(ids, "nb").withColumn("p", F.row_number().over(Window.partitionBy("c").orderBy("far", "first_id"))).where(F.col("p") <= k)
+            yield from flush()
+
+    pairs = rows.repartitionByRange(groups * (groups + 1) // 2, "p").sortWithinPartitions("p").mapInArrow(meet, "head long, nb long, far double")
+    top = pairs.withColumn("p", F.row_number().over(Window.partitionBy("head").orderBy("far", "nb"))).where(F.col("p") <= k)
     # classes to keys: own copies come first, then the members of the neighbouring classes
-    other = top.join(heads.withColumnRenamed("c", "nb"), "nb").select("c", F.explode("first").alias("neighbour"), (-F.col("far")).alias("cosine"))
-    other = other.withColumn("p", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cosine"), "neighbour"))).where(F.col("p") <= k)
-    lists2 = other.groupBy("c").agg(F.sort_array(F.collect_list(F.struct((-F.col("cosine")).alias("far"), F.col("neighbour").alias("nb")))).alias("others"))  # at most k
-    both = sizes.select("c").join(heads, "c").join(lists2, "c", "left")
-    own = F.transform(F.filter("first", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).cast("float").alias("far"), x.alias("nb")))
-    empty = F.array().cast("array<struct<far:float,nb:bigint>>")
+    other = top.join(heads.select(F.col("head").alias("nb"), "first"), "nb").select("head", F.explode("first").alias("neighbour"), "far")
+    other = other.withColumn("p", F.row_number().over(Window.partitionBy("head").orderBy("far", "neighbour"))).where(F.col("p") <= k)
+    lists = other.groupBy("head").agg(F.sort_array(F.collect_list(F.struct("far", F.col("neighbour").alias("nb")))).alias("others"))  # at most k
+    both = heads.join(lists, "head", "left")
+    own = F.transform(F.filter("first", lambda x: x != F.col("id")), lambda x: F.struct(F.lit(-1.0).alias("far"), x.alias("nb")))
+    empty = F.array().cast("array<struct<far:double,nb:bigint>>")
     best = F.slice(F.concat(F.slice(own, 1, k), F.coalesce("others", empty)), 1, k)
     out = tagged.select("id", "c").join(both, "c").select("id", F.posexplode(best).alias("rank", "x"))
-    return out.select("id", F.col("x.nb").alias("neighbour"), (-F.col("x.far")).alias("cosine"), (F.col("rank") + 1).alias("rank"))
+    return out.select("id", F.col("x.nb").alias("neighbour"), (-F.col("x.far")).cast("float").alias("cosine"), (F.col("rank") + 1).alias("rank"))

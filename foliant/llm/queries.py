@@ -86,7 +86,7 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs at 0.85 or more of which one is among the five most similar of the other."""
-    near = neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding").where(F.col("cosine") >= ALIKE - 1e-7)
+    near = neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding", least=ALIKE - 1e-6).where(F.col("cosine") >= ALIKE - 1e-7)
     return near.select(F.least("id", "neighbour").alias("a_chunk_id"), F.greatest("id", "neighbour").alias("b_chunk_id")).distinct()
 
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 
 from foliant.llm import neighbours
 
@@ -47,3 +48,22 @@ def test_copies_bad_vectors_and_small_sets(spark):
     assert got[1] == [2, 3, 4, 5, 6] and got[8] == [1, 2, 3, 4, 5] and got[20] == [1, 2, 3, 4, 5]
     assert neighbours.nearest(df.where("chunk_id = 20"), "chunk_id", "embedding").count() == 0
     assert neighbours.nearest(df.where("false"), "chunk_id", "embedding").count() == 0
+
+
+def test_dense_cluster_loses_nothing(spark):
+    r = np.random.default_rng(1)
+    centre = r.standard_normal(64)
+    for spread, n in ((0.25, 4_000), (1e-3, 4_000)):  # a third of the rows
+        x = np.concatenate([centre + spread * r.standard_normal((n, 64)), r.standard_normal((2 * n, 64))]).astype(np.float32)
+        df = spark.createDataFrame(pa.table({"chunk_id": np.arange(3 * n), "embedding": pa.FixedSizeListArray.from_arrays(x.ravel(), 64).cast(pa.list_(pa.float32()))}))
+        got = {}
+        for row in neighbours.nearest(df, "chunk_id", "embedding").collect():
+            got.setdefault(row["id"], set()).add(row["neighbour"])
+        u = x.astype(np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        asked = r.choice(n, 300, replace=False)
+        s = u[asked] @ u.T
+        s[np.arange(300), asked] = -2
+        best = np.argsort(-s, axis=1)[:, :5]
+        assert sum(len(got[int(i)] & set(b.tolist())) for i, b in zip(asked, best)) == 1_500
+        assert set(got) == set(range(3 * n))
