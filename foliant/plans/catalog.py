@@ -20,7 +20,6 @@ from foliant.streaming import jobs
 
 NOW = 1_767_225_600_000
 QUERY = ["supply", "review"]
-SIGNAL = r"[0-9]+ ?(円|万円|%|％|件|名|日|年)|per cent|ceiling|以上|原則|上限"
 
 
 def _t(spark: SparkSession, d: str, *names: str) -> list[DataFrame]:
@@ -298,8 +297,9 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """The sixty pairs of passages with figures or rules, of different documents, that are most alike without being the same."""
-    c = reports.once(table(spark, d, "chunks"), "chunk_id").where(F.col("text").rlike(SIGNAL)).select(F.col("chunk_id").alias("id"), "document_id", "text")
+    """The sixty pairs of passages with figures or rules, of different documents that aren't archived, that are most alike without being the same."""
+    c, visible = _chunks(spark, d)
+    c = c.where(contradiction.has_signal(F.col("text"))).select(F.col("chunk_id").alias("id"), "text").join(visible, "id")
     return contradiction.candidates(c).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

@@ -188,6 +188,17 @@ def test_candidates_equal_brute_force(spark):
     assert contradiction.candidates(df.where("false")).count() == 0
 
 
+def test_candidates_take_every_signal_and_no_archived_document(spark, tmp_path):
+    from foliant.plans.catalog import QUERIES
+
+    text = "alpha beta gamma delta epsilon zeta eta theta %s"
+    chunks = [(1, "d1", text % "３週間以内"), (2, "d2", text % "必須"), (3, "d3", text % "禁止"), (4, "gone", text % "以下"), (5, "d2", text % "per cent"), (6, "nowhere", text % "未満")]
+    spark.createDataFrame(chunks, "chunk_id long, document_id string, text string").write.parquet(f"{tmp_path}/chunks.parquet")
+    docs = [("d1", "active"), ("d2", "active"), ("d3", "active"), ("gone", "archived")]
+    spark.createDataFrame(docs, "document_id string, status string").write.parquet(f"{tmp_path}/managed_documents.parquet")
+    assert {(r["a"], r["b"]) for r in QUERIES["contradiction_candidates"](spark, str(tmp_path)).collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
 def test_signals_memo_and_judgement(spark):
     t = spark.createDataFrame([("上限は3,000円",), ("10日以内",), ("hello",), ("令和6年4月1日",)], "t string").select(contradiction.has_signal(F.col("t"))).collect()
     assert [x[0] for x in t] == [True, True, False, True]
