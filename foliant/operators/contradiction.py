@@ -27,10 +27,13 @@ def has_signal(text: Column) -> Column:
 
 
 def _sets(chunks: DataFrame) -> DataFrame:
-    """(id, document_id, s) of one chunk for each distinct set of shingles: the one with the smallest id."""
+    """(id, own, s) of one chunk for each distinct set of shingles: the one with the smallest id. `own` is the document that has all chunks of the set, null where several have."""
     x = chunks.select("id", "document_id", F.array_sort(F.array_distinct(shingles(words(F.col("text"))))).alias("s")).where(F.size("s") > 0)
-    one = x.groupBy(F.xxhash64("s").alias("h"), F.size("s").alias("n")).agg(F.min(F.struct("id", "document_id", "s")).alias("m"))
-    return one.select("m.id", "m.document_id", "m.s")
+    one = x.groupBy(F.xxhash64("s").alias("h"), F.size("s").alias("n")).agg(
+        F.min(F.struct("id", "s")).alias("m"),
+        F.when((F.min("document_id") == F.max("document_id")) & (F.count("document_id") == F.count("*")), F.min("document_id")).alias("own"),
+    )
+    return one.select("m.id", "own", "m.s")
 
 
 def _pairs(sets: DataFrame, least: float) -> DataFrame:
@@ -44,10 +47,10 @@ def _pairs(sets: DataFrame, least: float) -> DataFrame:
     n = F.size("o")
     keep = (n - F.ceil(F.lit(least) * n - 1e-9) + 1).cast("int")
     keys = order.select("id", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), keep))).alias("x")).where("x.df > 1").select("id", F.col("x.t").alias("t"))
-    sizes = sets.select("id", "document_id", F.size("s").alias("n"))
+    sizes = sets.select("id", "own", F.size("s").alias("n"))
     k = keys.join(sizes, "id")
     a, b = k.alias("a"), k.alias("b")
-    met = a.join(b, F.expr(f"a.t = b.t and a.id < b.id and a.document_id <> b.document_id and least(a.n, b.n) >= {least} * greatest(a.n, b.n) - 1e-9")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    met = a.join(b, F.expr(f"a.t = b.t and a.id < b.id and (a.own is null or b.own is null or a.own <> b.own) and least(a.n, b.n) >= {least} * greatest(a.n, b.n) - 1e-9")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     s = sets.select("id", "s")
     both = met.join(s.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(s.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     shared = F.size(F.array_intersect("sa", "sb"))
@@ -57,7 +60,7 @@ def _pairs(sets: DataFrame, least: float) -> DataFrame:
 def candidates(chunks: DataFrame, least: float = LEAST, most: int = MOST) -> DataFrame:
     """The `most` pairs (a, b, jaccard) of chunks of different documents that are most alike, ties by ids. `chunks`: (id, document_id, text).
 
-    Chunks with the same shingles are one, under the smallest id. The search begins at a high likeness, where few
+    Chunks with the same shingles are one, under the smallest id; two such classes are a pair unless all their chunks are of one document. The search begins at a high likeness, where few
     pairs meet, and goes down until enough are found or `least` is reached, so the result is that of comparing all pairs.
     """
     sets = materialise(_sets(chunks.where(F.col("text").isNotNull()).dropDuplicates(["id"])), "sets")

@@ -188,6 +188,13 @@ def test_candidates_equal_brute_force(spark):
     assert contradiction.candidates(df.where("false")).count() == 0
 
 
+def test_candidates_of_a_class_in_several_documents(spark):
+    x, y = "a b c d e f g h", "a b c d e f g z"
+    df = spark.createDataFrame([(1, "d1", x), (2, "d1", y), (3, "d2", x)], "id long, document_id string, text string")
+    assert [(r["a"], r["b"]) for r in contradiction.candidates(df).collect()] == [(1, 2)]
+    assert contradiction.candidates(df.where("document_id = 'd1'")).count() == 0
+
+
 def test_candidates_take_every_signal_and_no_archived_document(spark, tmp_path):
     from foliant.plans.catalog import QUERIES
 
