@@ -21,9 +21,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from foliant.runtime import materialise, spread
 
-#: The lexicon holds at most so many entries of each kind, the most frequent ones; each was seen twice or more.
-LEXICON = 200_000
-
 # What a scan makes of letters, as (read, meant).
 CONFUSED = "c e  f t  0 o  ri n  l i  ii u  1 l  5 s  b h  rn m  o a  m rn  cl d  d cl  vv w  8 B  6 b  I l  1 i  0 O  5 S  1 I  e c  t f  h b  i l  n ri  u ii  a o"
 COMMON = 10  # so many pairs, from the first on, are common
@@ -177,7 +174,7 @@ def variants(w: str) -> list[tuple[str, int, float]]:
 
 
 def fit(results: DataFrame, pages: str = "page_texts") -> Model:
-    """Counts over all pages; summed in the tasks, then over them; the LEXICON most frequent entries of each kind reach the driver."""
+    """Counts over all pages; summed in the tasks, then over them; all entries seen twice or more reach the driver, however many there are."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n: Counter = Counter()
@@ -200,9 +197,11 @@ def fit(results: DataFrame, pages: str = "page_texts") -> Model:
     counts = spread(results.select(F.col(pages).alias("p"))).mapInPandas(count, "k string, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1")
     counts = materialise(counts, "counts")
     kinds: dict[str, dict[str, int]] = defaultdict(dict)
-    for kind in ("w", "h", "e", "xyz"):
-        for r in counts.where(F.substring("k", 1, 1).isin(*kind)).orderBy(F.desc("n"), "k").limit(LEXICON).collect():
-            kinds[kind][r["k"] if kind == "xyz" else r["k"][1:]] = r["n"]
+    for k, n in counts.toLocalIterator():
+        if k[0] in "xyz":
+            kinds["xyz"][k] = n
+        else:
+            kinds[k[0]][k[1:]] = n
     return Model(kinds["w"], kinds["h"], kinds["xyz"], kinds["e"]).settle()
 
 

@@ -119,3 +119,12 @@ def test_planted_misreadings_are_found(spark):
         got = {(p, i) for p, i, d in ocr.repair(["\n".join(x) for x in split], m).defects if d == "misread"}
         hit, missed, extra = hit + len(got & planted), missed + len(planted - got), extra + len(got - planted)
     assert hit > 500 and hit / (hit + missed) >= 0.97 and hit / (hit + extra) >= 0.99, (hit, missed, extra)
+
+
+def test_no_word_is_left_out_of_a_large_lexicon(spark):
+    from itertools import islice, product
+
+    words = ["".join(w) for w in islice(product("gkpqvxyz", repeat=6), 200_500)]
+    rows = [([" ".join(words[a::8])] * 3 + ["harvest"],) for a in range(8)]
+    model = ocr.fit(spark.createDataFrame(rows, "page_texts array<string>"))
+    assert model.words["harvest"] == 8 and all(model.words.get(w) == 3 for w in words)
