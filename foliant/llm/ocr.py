@@ -443,8 +443,11 @@ def _paragraph_breaks(lines: list[str], gaps: list[int], width: int) -> list[boo
             c -= 6.0
         price.append(c)
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
+    long = 0  # the best start of those from which the size has its price for every line
     for j in range(1, n + 1):
-        for i in range(max(0, j - 60), j):
+        if j > 25 and best[j - 25] + price[j - 25] - 0.02 * (j - 25) < best[long] + price[long] - 0.02 * long:
+            long = j - 25
+        for i in (*([long] if j >= 25 else []), *range(max(0, j - 24), j)):
             size = j - i
             c = best[i] + price[i] + (0.4 if size == 1 else 0.0) + (0.02 * max(0, size - 25))
             if c < best[j]:

@@ -128,3 +128,8 @@ def test_no_word_is_left_out_of_a_large_lexicon(spark):
     rows = [([" ".join(words[a::8])] * 3 + ["harvest"],) for a in range(8)]
     model = ocr.fit(spark.createDataFrame(rows, "page_texts array<string>"))
     assert model.words["harvest"] == 8 and all(model.words.get(w) == 3 for w in words)
+
+
+def test_long_paragraphs_stay_whole():
+    for n in (24, 25, 26, 60, 61, 90):
+        assert ocr._paragraph_breaks(["one line of many"] * n, [0] * n, 16) == [True] + [False] * (n - 1)
