@@ -2,64 +2,92 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
 WINDOW, EXCERPTS = 160, 2
 
 
-def fold_with_map(text: str) -> tuple[str, list[int]]:
-    """The text in compatibility form and lower case, and for each of its characters the place in the original; one more for the end."""
-    out, at = [], []
-    for i, ch in enumerate(text):
-        flat = unicodedata.normalize("NFKC", ch).lower()
-        out.append(flat)
-        at += [i] * len(flat)
-    return "".join(out), [*at, len(text)]
+class _Folded(dict):
+    """Compatibility form and lower case of a character, computed once for each that occurs."""
 
+    def __missing__(self, ch: str) -> str:
+        self[ch] = flat = unicodedata.normalize("NFKC", ch).lower()
+        return flat
 
-def find_hits(text: str, terms: list[str]) -> list[tuple[int, int, str]]:
-    """(start, end, term) of all occurrences, those that touch or overlap joined under the first term."""
+
+_FOLD = _Folded()
+
+
+@dataclass
+class Spans:
+    """Disjoint occurrences in text order: places and the number of the term that each began with."""
+
+    start: np.ndarray
+    end: np.ndarray
+    term: np.ndarray
+
+
+def fold_with_map(text: str) -> tuple[str, np.ndarray]:
+    """The text in compatibility form and lower case, character by character, and for each of its characters the place in the original; one more for the end."""
+    if text.isascii():
+        return text.lower(), np.arange(len(text) + 1)
+    parts = [_FOLD[c] for c in text]
+    size = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    return "".join(parts), np.r_[np.repeat(np.arange(len(text)), size), len(text)]
+
+
+def find_hits(text: str, terms: list[str]) -> Spans:
+    """All occurrences; those that touch or overlap are one, under the term of the first."""
     flat, at = fold_with_map(text)
-    found = []
-    for term in terms:
-        t = unicodedata.normalize("NFKC", term).lower()
-        i = flat.find(t) if t else -1
-        while i >= 0:
-            end = at[i + len(t)] if i + len(t) < len(flat) and at[i + len(t)] > at[i + len(t) - 1] else at[i + len(t) - 1] + 1
-            found.append((at[i], end, term))
-            i = flat.find(t, i + len(t))
-    joined: list[tuple[int, int, str]] = []
-    for s, e, t in sorted(found, key=lambda x: x[:2]):
-        if joined and s <= joined[-1][1]:
-            joined[-1] = (joined[-1][0], max(e, joined[-1][1]), joined[-1][2])
-        else:
-            joined.append((s, e, t))
-    return joined
-
-
-def excerpts(text: str, hits: list[tuple[int, int, str]], window: int = WINDOW, most: int = EXCERPTS) -> list[dict]:
-    """The windows with most different terms, then most hit characters, then the earliest; in text order, cut at hits."""
-    if not hits:
+    spans = []
+    for n, term in enumerate(terms):
+        if t := unicodedata.normalize("NFKC", term).lower():
+            spans += [(m.start(), m.end(), n) for m in re.finditer(re.escape(t), flat)]
+    if not spans:
+        return Spans(*np.zeros((3, 0), dtype=np.int64))
+    a, b, n = np.array(spans, dtype=np.int64).T
+    start, end = at[a], np.maximum(at[b], at[b - 1] + 1)  # a character that folds to several is hit as a whole
+    order = np.lexsort((end, start))
+    start, end, n = start[order], end[order], n[order]
+    reach = np.maximum.accumulate(end)
+    head = np.flatnonzero(np.r_[True, start[1:] > reach[:-1]])
+    return Spans(start[head], reach[np.r_[head[1:] - 1, len(reach) - 1]], n[head])
+
+
+def excerpts(text: str, hits: Spans, window: int = WINDOW, most: int = EXCERPTS) -> list[dict]:
+    """The windows with most different terms, then most hit characters, then the earliest; in text order, cut at hits.
+
+    Every hit has a window around it. Windows move on with the hits, so the hits in each are a range and all ranges come from two
+    searches; terms and characters in them are differences of running counts.
+    """
+    if not len(hits.start):
         return [{"offset": 0, "segments": [{"text": text[:window], "hit": False}]}]
-    ranked = []
-    for s, e, _ in hits:
-        a = max(0, (s + e) // 2 - window // 2)
-        b = min(len(text), a + window)
-        inside = [h for h in hits if h[0] < b and h[1] > a]
-        ranked.append((-len({h[2] for h in inside}), -sum(h[1] - h[0] for h in inside), a, b, inside))
-    taken: list[tuple] = []
-    for r in sorted(ranked, key=lambda r: r[:3]):
-        if len(taken) < most and all(r[2] >= t[3] or r[3] <= t[2] for t in taken):
-            taken.append(r)
-    out = []
-    for _, _, a, b, inside in sorted(taken, key=lambda r: r[2]):
-        marks = sorted({a, b, *(min(max(x, a), b) for h in inside for x in h[:2])})
-        parts = [{"text": text[x:y], "hit": any(h[0] < y and h[1] > x for h in inside)} for x, y in zip(marks, marks[1:])]
-        out.append({"offset": a, "segments": parts})
-    return out
+    a = np.maximum(0, (hits.start + hits.end) // 2 - window // 2)
+    b = np.minimum(len(text), a + window)
+    lo, hi = np.searchsorted(hits.end, a, side="right"), np.searchsorted(hits.start, b, side="left")
+    chars = np.r_[0, np.cumsum(hits.end - hits.start)]
+    kinds = np.zeros(len(a), dtype=np.int64)
+    for t in np.unique(hits.term):
+        seen = np.r_[0, np.cumsum(hits.term == t)]
+        kinds += seen[hi] > seen[lo]
+    free, taken = np.lexsort((a, chars[lo] - chars[hi], -kinds)), []
+    while len(free) and len(taken) < most:
+        w = free[0]
+        taken.append(w)
+        free = free[(a[free] >= b[w]) | (b[free] <= a[w])]
+    return [{"offset": int(a[w]), "segments": _segments(text, int(a[w]), int(b[w]), hits.start[lo[w] : hi[w]], hits.end[lo[w] : hi[w]])} for w in sorted(taken)]
+
+
+def _segments(text: str, a: int, b: int, start: np.ndarray, end: np.ndarray) -> list[dict]:
+    """text[a:b] cut at the edges of the hits; every second part is one, and empty parts are left out."""
+    edges = np.clip(np.r_[a, np.stack([start, end], 1).ravel(), b], a, b).tolist()
+    return [{"text": text[x:y], "hit": bool(i & 1)} for i, (x, y) in enumerate(zip(edges, edges[1:])) if x < y]
 
 
 EXCERPT = "array<struct<offset:int,segments:array<struct<text:string,hit:boolean>>>>"

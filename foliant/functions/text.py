@@ -61,7 +61,7 @@ def human_bytes(n: Column) -> Column:
 
 
 def slug(index: Column, heading: Column) -> Column:
-    """Anchor name of a heading: letters and digits joined by hyphens, 40 characters at most, behind its line number."""
+    """Anchor name of a heading: letters and digits joined by hyphens, 40 characters at most, behind its number among the headings."""
     s = F.regexp_replace(F.regexp_replace(F.lower(heading), r"[^\p{L}\p{N}]+", "-"), "^-+|-+$", "")
     s = F.substring(s, 1, 40)
     return F.concat(F.lit("h-"), index.cast("string"), F.lit("-"), F.when(s == "", F.lit("section")).otherwise(s))

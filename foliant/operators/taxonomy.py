@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Callable, Iterator
 
-from foliant.providers import TextProvider
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F
+
+from foliant.providers import ProviderError, TextProvider
+from foliant.runtime import materialise
 
 # Fixed value: the category that every tree has.
 FALLBACK = "その他"
@@ -43,20 +47,79 @@ def classify(answers: DataFrame, categories: DataFrame) -> DataFrame:
     return answers.join(categories.select("path", F.col("id").alias("category_id")), "path", "left").select("document_id", "category_id")
 
 
-def outlines(chunks: DataFrame, most: int = 5) -> DataFrame:
-    """(document_id, outline, headings): the first `most` distinct heading paths of each document, in code point order, and how many there are."""
+def outlines(documents: DataFrame, chunks: DataFrame, most: int = 5) -> DataFrame:
+    """(document_id, title, doc_type, outline, headings) of every document that isn't archived and has a current version.
+
+    outline: the first `most` distinct heading paths in code point order; headings: how many there are. A document without headings has an empty outline.
+    """
+    d = documents.where("status <> 'archived' and current_version_id is not null").select("document_id", "title", "doc_type")
     h = chunks.where("heading_path is not null").select("document_id", "heading_path").distinct()
     g = h.groupBy("document_id").agg(F.sort_array(F.collect_set("heading_path")).alias("all"))
-    return g.select("document_id", F.array_join(F.slice("all", 1, most), " | ").alias("outline"), F.size("all").cast("long").alias("headings"))
+    x = d.join(g, "document_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<string>")))
+    return x.select("document_id", "title", "doc_type", F.array_join(F.slice("all", 1, most), " | ").alias("outline"), F.size("all").cast("long").alias("headings"))
+
 
+def summary_line() -> Column:
+    """A document as a line of a prompt: title, type, outline."""
+    return F.concat_ws(" | ", F.concat(F.lit("- "), "title"), F.col("doc_type"), F.when(F.col("outline") != "", F.col("outline")))
+
+
+def propose(outlines_: DataFrame, provider: TextProvider, prompt_lines: int = 2_000) -> DataFrame:
+    """(top, child) as the provider proposes them from all documents; its answer is {"categories": [{"name", "children"}]}.
+
+    Every document is read. A call takes at most `prompt_lines` documents, so a large archive is proposed for in parts, in the tasks, and
+    the parts' proposals are united; only those few rows travel.
+    """
+    rows = outlines_.select(summary_line().alias("line"))
+    parts = max(1, -(-rows.count() // prompt_lines))
 
-def propose(outlines_: DataFrame, provider: TextProvider, most: int = 200) -> DataFrame:
-    """(top, child) as the provider proposes them from the outlines of `most` documents; its answer is {"categories": [{"name", "children"}]}."""
-    spark = outlines_.sparkSession
-    lines = [r["outline"] for r in outlines_.orderBy("document_id").limit(most).collect()]
-    got = provider.complete_json("\n".join(lines), ("categories",))["categories"]
-    rows = [(c["name"], k) for c in got for k in [*c.get("children", []), None]]
-    return spark.createDataFrame(rows, "top string, child string")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lines = [x for b in batches for x in b["line"]]
+        for a in range(0, len(lines), prompt_lines):
+            got = provider.complete_json("\n".join(sorted(lines[a : a + prompt_lines])), ("categories",))["categories"]
+            yield pd.DataFrame([(c["name"], k) for c in got for k in [*c.get("children", []), None]], columns=["top", "child"])
+
+    return rows.repartition(parts).mapInPandas(run, "top string, child string").distinct()
+
+
+def without_proposed(documents: DataFrame, categories: DataFrame) -> DataFrame:
+    """Documents whose category was a machine-proposed one have none any more, as those are replaced."""
+    gone = categories.where("coalesce(is_ai_proposed, false)").select(F.col("id").alias("category_id"), F.lit(True).alias("gone"))
+    return documents.join(gone, "category_id", "left").withColumn("category_id", F.when(F.col("gone").isNull(), F.col("category_id"))).drop("gone").select(*documents.columns)
+
+
+def classify_all(documents: DataFrame, outlines_: DataFrame, categories: DataFrame, provider: TextProvider, now: int, progress: Callable[[int, int], None] | None = None) -> DataFrame:
+    """The documents after every unclassified one that isn't archived was given the category whose path the provider names.
+
+    An answer that is no path, or a failed call, leaves the document without one. The paths are a small fixed list (1,000 at most) and part of every prompt.
+    `progress` is told (done, total) from the counters of the run when it is over; the tasks count into an accumulator, which a listener may read meanwhile.
+    """
+    spark = documents.sparkSession
+    paths = [r[0] for r in categories.select("path").distinct().orderBy("path").limit(1_001).collect()]
+    if len(paths) > 1_000:
+        raise ValueError("more than 1,000 categories don't fit a prompt")
+    todo = unclassified(documents).select("document_id").join(outlines_, "document_id", "left").select("document_id", F.coalesce(summary_line(), F.lit("")).alias("line"))
+    done = spark.sparkContext.accumulator(0)
+    head = "\n".join(paths)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            said = []
+            for line in b["line"]:
+                try:
+                    said.append(str(provider.complete_json(f"{head}\n---\n{line}", ("categoryPath",))["categoryPath"]).strip())
+                except ProviderError:
+                    said.append(None)
+                done.add(1)
+            yield pd.DataFrame({"document_id": b["document_id"], "path": said})
+
+    answers = materialise(classify(todo.mapInPandas(run, "document_id string, path string"), categories), "classified")
+    if progress is not None:
+        total = answers.count()
+        progress(min(done.value, total), total)
+    x = documents.join(answers.select("document_id", F.col("category_id").alias("chosen"), F.lit(True).alias("asked")), "document_id", "left")
+    out = x.withColumns({"category_id": F.coalesce("category_id", "chosen"), "updated_at": F.when(F.col("asked"), F.lit(now).cast("long")).otherwise(F.col("updated_at"))})
+    return out.select(*documents.columns)
 
 
 def unclassified(documents: DataFrame) -> DataFrame:

@@ -29,13 +29,15 @@ def usable(v: Column) -> Column:
 def nearest_to(vectors: DataFrame, key: str, vector: str, query: list[float], limit: int = 30) -> DataFrame:
     """(id, score): the vectors most similar to one query vector, ties by id. Unusable ones and those of another length are left out."""
     q = F.array(*(F.lit(float(x)) for x in query))
-    x = vectors.where(usable(F.col(vector)) & (F.size(vector) == len(query))).select(F.col(key).alias("id"), cosine(F.col(vector), q).alias("score")).dropDuplicates(["id"])
-    return x.orderBy(F.desc("score"), "id").limit(limit)
+    x = vectors.where(usable(F.col(vector)) & (F.size(vector) == len(query))).select(F.col(key).alias("id"), cosine(F.col(vector), q).alias("score"))
+    # copies of a delivery share their score, so each key has one best row: grouping keys combines map-side and only (id, score) is shuffled
+    return x.groupBy("id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def missing(chunks: DataFrame, embeddings: DataFrame, key: str = "chunk_id") -> DataFrame:
-    """Chunks without an embedding."""
-    return chunks.dropDuplicates([key]).join(embeddings.where("embedding is not null").select(key).distinct(), key, "left_anti")
+def missing(chunks: DataFrame, embeddings: DataFrame, documents: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """Chunks without an embedding, of the documents that are known and not archived."""
+    live = documents.where("status <> 'archived'").select("document_id")
+    return chunks.join(live, "document_id", "left_semi").dropDuplicates([key]).join(embeddings.where("embedding is not null").select(key).distinct(), key, "left_anti")
 
 
 def backfill(chunks: DataFrame, provider: EmbeddingProvider, key: str = "chunk_id", text: str = "text") -> DataFrame:

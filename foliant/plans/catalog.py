@@ -100,7 +100,8 @@ def category_tree(spark: SparkSession, d: str) -> DataFrame:
 
 
 def document_outlines(spark: SparkSession, d: str) -> DataFrame:
-    return taxonomy.outlines(table(spark, d, "chunks"))
+    """Every document that isn't archived and has a current version, with its first heading paths."""
+    return taxonomy.outlines(*_t(spark, d, "managed_documents", "chunks"))
 
 
 def job_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -197,7 +198,7 @@ def annotated_lines(spark: SparkSession, d: str) -> DataFrame:
 
 def markdown_chunks(spark: SparkSession, d: str) -> DataFrame:
     v = reports.once(table(spark, d, "document_versions"), "version_id")
-    return chunk.chunk_markdown(v, "version_id", "markdown").withColumnRenamed("key", "version_id").withColumn("chars", F.length("text")).drop("text")
+    return chunk.chunk_markdown(v, "version_id", "markdown").withColumnRenamed("key", "version_id").withColumns({"chars": F.length("text"), "page_from": F.col("page_from").cast("string"), "page_to": F.col("page_to").cast("string")}).drop("text")
 
 
 def version_diffs(spark: SparkSession, d: str) -> DataFrame:
@@ -205,7 +206,7 @@ def version_diffs(spark: SparkSession, d: str) -> DataFrame:
     v = reports.once(table(spark, d, "document_versions"), "version_id")
     w = Window.partitionBy("document_id").orderBy("version_no", "version_id")
     p = v.select("version_id", strip_anchors(F.col("markdown")).alias("new"), F.lag(strip_anchors(F.col("markdown"))).over(w).alias("old"), F.lag("version_id").over(w).alias("before")).where("before is not null")
-    r = p.select("version_id", F.explode(diff.diff_runs(F.col("old"), F.col("new"))).alias("r"))
+    r = p.select("version_id", F.explode_outer(diff.diff_runs(F.col("old"), F.col("new"))).alias("r"))
     return r.groupBy("version_id").agg(F.sum(F.when(F.col("r.kind") == "added", F.col("r.lines")).otherwise(0)).alias("added"), F.sum(F.when(F.col("r.kind") == "removed", F.col("r.lines")).otherwise(0)).alias("removed"))
 
 
@@ -256,14 +257,12 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unembedded(spark: SparkSession, d: str) -> DataFrame:
-    c, e = _t(spark, d, "chunks", "chunk_embeddings")
-    return vector.missing(c, e).select("chunk_id", "document_id")
+    return vector.missing(*_t(spark, d, "chunks", "chunk_embeddings", "managed_documents")).select("chunk_id", "document_id")
 
 
 def backfilled(spark: SparkSession, d: str) -> DataFrame:
     """Vectors of the stand-in provider for all chunks without one."""
-    c, e = _t(spark, d, "chunks", "chunk_embeddings")
-    return vector.backfill(spread(vector.missing(c, e)), HashingEmbedder()).select("chunk_id", F.size("embedding").alias("size"))
+    return vector.backfill(spread(vector.missing(*_t(spark, d, "chunks", "chunk_embeddings", "managed_documents"))), HashingEmbedder()).select("chunk_id", F.size("embedding").cast("long").alias("size"))
 
 
 def highlighted(spark: SparkSession, d: str) -> DataFrame:

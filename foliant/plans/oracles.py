@@ -5,6 +5,7 @@ from __future__ import annotations
 from foliant.functions.freshness import DAY, HALF_LIFE, REVIEW
 from foliant.functions.segment import STOPWORDS
 from foliant.functions.text import MIME
+from foliant.operators.contradiction import SIGNALS
 
 NOW = 1_767_225_600_000
 
@@ -69,25 +70,48 @@ _CURRENT = f"""cur AS (SELECT v.version_id, v.document_id, v.markdown FROM {VERS
 WHERE d.status <> 'archived' AND v.markdown IS NOT NULL AND v.markdown <> '')"""
 
 _w = "OVER (PARTITION BY key ORDER BY line_no ROWS UNBOUNDED PRECEDING)"
-_LINES = rf"""WITH v AS (SELECT version_id AS key, string_split(markdown, chr(10)) AS ls FROM {VERSIONS} WHERE markdown IS NOT NULL),
+_INK = r"[^\n\r\x{2028}\x{2029}]"
+_HEADING, _NUMBERED, _SHEET = rf"^(#{{1,6}}){_WS}+({_INK}*)\z", rf"^<!--{_WS}*(?:page|slide):(\d+){_WS}*-->\z", rf"^<!--{_WS}*sheet:({_INK}+?){_WS}*-->\z"
+_TRIM = rf"'^{_WS}+|{_WS}+\z', '', 'g'"
+_LINES = rf"""v AS (SELECT version_id AS key, string_split(markdown, chr(10)) AS ls FROM {VERSIONS} WHERE markdown IS NOT NULL),
 l AS (SELECT key, unnest(ls) AS text, unnest(range(0, len(ls)))::INTEGER AS line_no FROM v),
-m AS (SELECT *, length(regexp_extract(text, '^(#{{1,6}})\s+(.*)$', 1)) AS lv, trim(regexp_extract(text, '^(#{{1,6}})\s+(.*)$', 2)) AS nm, regexp_extract(trim(text), '^<!--\s*(page|slide|sheet):\s*(.+?)\s*-->$', 1) AS kind, regexp_extract(trim(text), '^<!--\s*(page|slide|sheet):\s*(.+?)\s*-->$', 2) AS val FROM l),
-n AS (SELECT *, kind IN ('page', 'slide') AND regexp_full_match(val, '\d+') AS pg FROM m),
+m AS (SELECT *, length(regexp_extract(text, '{_HEADING}', 1)) AS lv, regexp_replace(regexp_extract(text, '{_HEADING}', 2), {_TRIM}) AS nm, regexp_extract(text, '{_NUMBERED}', 1) AS pg, regexp_extract(text, '{_SHEET}', 1) AS sh FROM l),
 h AS (SELECT *, {", ".join(f"last_value(CASE WHEN lv = {k} THEN nm END IGNORE NULLS) {_w} AS n{k}, coalesce(last_value(CASE WHEN lv = {k} THEN line_no END IGNORE NULLS) {_w}, -1) AS a{k}" for k in range(1, 7))},
- last_value(CASE WHEN pg THEN val::INTEGER END IGNORE NULLS) {_w} AS page, last_value(CASE WHEN kind = 'sheet' THEN val END IGNORE NULLS) {_w} AS sheet,
- last_value(CASE WHEN lv > 0 THEN line_no END IGNORE NULLS) {_w} AS ta, last_value(CASE WHEN lv > 0 THEN nm END IGNORE NULLS) {_w} AS tn FROM n),
-p AS (SELECT *, array_to_string(list_filter([{", ".join(f"CASE WHEN a{k} >= 0 AND a{k} >= greatest(-1, {', '.join(f'a{j}' for j in range(1, k)) or '-1'}) THEN n{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL), ' > ') AS path,
- left(regexp_replace(regexp_replace(lower(tn), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM h)
-SELECT key, line_no, text, nullif(path, '') AS heading_path, CASE WHEN ta IS NOT NULL THEN 'h-' || ta || '-' || CASE WHEN slug = '' THEN 'section' ELSE slug END END AS heading_anchor, page::VARCHAR AS page, sheet FROM p WHERE NOT (pg OR kind = 'sheet')"""
-
-_CANDIDATES = rf"""WITH c AS (SELECT chunk_id AS id, document_id, {_words("text")} AS w FROM {CHUNKS} WHERE regexp_matches(text, '[0-9]+ ?(円|万円|%|％|件|名|日|年)|per cent|ceiling|以上|原則|上限')),
-s AS (SELECT id, document_id, list_sort(list_distinct({_shingles("w")})) AS s FROM c WHERE len(w) > 0), o AS (SELECT min(id) AS id, s FROM s GROUP BY s),
-u AS (SELECT o.id, s.document_id, len(o.s) AS n, unnest(o.s) AS g FROM o JOIN s ON s.id = o.id),
-p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS t, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id AND a.document_id <> b.document_id GROUP BY ALL)
+ last_value(CASE WHEN pg <> '' THEN try_cast(pg AS INTEGER) END IGNORE NULLS) {_w} AS page, last_value(CASE WHEN sh <> '' THEN sh END IGNORE NULLS) {_w} AS sheet,
+ count(*) FILTER (lv > 0) {_w} AS ta, last_value(CASE WHEN lv > 0 THEN nm END IGNORE NULLS) {_w} AS tn FROM m),
+p AS (SELECT *, list_filter([{", ".join(f"CASE WHEN a{k} >= 0 AND a{k} >= greatest(-1, {', '.join(f'a{j}' for j in range(1, k)) or '-1'}) THEN n{k} END" for k in range(1, 7))}], lambda x: x IS NOT NULL) AS path,
+ left(regexp_replace(regexp_replace(lower(tn), '[^\p{{L}}\p{{N}}]+', '-', 'g'), '^-+|-+$', '', 'g'), 40) AS slug FROM h),
+lines AS (SELECT key, line_no, text, CASE WHEN len(path) > 0 THEN array_to_string(path, ' > ') END AS heading_path, CASE WHEN ta > 0 THEN 'h-' || ta || '-' || CASE WHEN slug = '' THEN 'section' ELSE slug END END AS heading_anchor, page, sheet FROM p WHERE pg = '' AND sh = '')"""
+
+# one step for each sentence of a long line, each line of a document and each chunk
+_CHUNKED = rf"""WITH RECURSIVE {_LINES},
+sen AS (SELECT key, line_no, unnest(regexp_extract_all(text, '[^。]*。|[^。]+')) AS s, unnest(range(1, len(regexp_extract_all(text, '[^。]*。|[^。]+')) + 1)) AS k FROM lines WHERE length(text) > 700),
+cut AS (SELECT key, line_no, k, unnest(list_transform(range(0, (length(s) - 1) // 700 + 1), lambda i: substring(s, i * 700 + 1, 700))) AS s, unnest(range(0, (length(s) - 1) // 700 + 1)) AS j, length(s) > 700 AS hard FROM sen),
+un AS (SELECT *, row_number() OVER (PARTITION BY key, line_no ORDER BY k, j) AS n FROM cut),
+pk AS (SELECT key, line_no, n, s, 1 AS part, CASE WHEN hard THEN 9999 ELSE length(s) END AS held FROM un WHERE n = 1 UNION ALL
+ SELECT u.key, u.line_no, u.n, u.s, part + CASE WHEN u.hard OR held + length(u.s) > 700 THEN 1 ELSE 0 END, CASE WHEN u.hard THEN 9999 WHEN held + length(u.s) > 700 THEN length(u.s) ELSE held + length(u.s) END FROM pk JOIN un u ON u.key = pk.key AND u.line_no = pk.line_no AND u.n = pk.n + 1),
+parts AS (SELECT key, line_no, 1 AS part, text AS t FROM lines WHERE length(text) <= 700 UNION ALL SELECT key, line_no, part, string_agg(s, '' ORDER BY n) FROM pk GROUP BY ALL),
+num AS (SELECT x.key, t, heading_path, heading_anchor, page, sheet, row_number() OVER (PARTITION BY x.key ORDER BY x.line_no, part) AS i FROM parts x JOIN lines USING (key, line_no)),
+wk AS (SELECT key, i, 1 AS c, length(t) + 1 AS size, heading_path AS hp FROM num WHERE i = 1 UNION ALL
+ SELECT q.key, q.i, c + CASE WHEN size >= 700 OR q.heading_path IS DISTINCT FROM hp THEN 1 ELSE 0 END, length(q.t) + 1 + CASE WHEN size >= 700 OR q.heading_path IS DISTINCT FROM hp THEN 0 ELSE size END, q.heading_path FROM wk JOIN num q ON q.key = wk.key AND q.i = wk.i + 1),
+bo AS (SELECT num.key, c, string_agg(t, chr(10) ORDER BY num.i) AS body, max(size) >= 700 AS is_full, first(heading_path ORDER BY num.i) FILTER (heading_path IS NOT NULL) AS heading_path, first(heading_anchor ORDER BY num.i) FILTER (heading_anchor IS NOT NULL) AS heading_anchor,
+ min(page) AS page_from, max(page) AS page_to, first(sheet ORDER BY num.i) FILTER (sheet IS NOT NULL) AS sheet_name FROM wk JOIN num ON num.key = wk.key AND num.i = wk.i GROUP BY num.key, c),
+tx AS (SELECT key, c, regexp_replace(body, {_TRIM}) AS text, is_full FROM bo WHERE c = 1 UNION ALL
+ SELECT b.key, b.c, regexp_replace(CASE WHEN tx.is_full AND tx.text <> '' THEN right(tx.text, 100) || chr(10) || b.body ELSE b.body END, {_TRIM}), b.is_full FROM tx JOIN bo b ON b.key = tx.key AND b.c = tx.c + 1)
+SELECT key AS version_id, (row_number() OVER (PARTITION BY key ORDER BY c) - 1)::INTEGER AS ordinal, heading_path, heading_anchor, page_from::VARCHAR AS page_from, page_to::VARCHAR AS page_to, sheet_name, length(text)::INTEGER AS chars FROM tx JOIN bo USING (key, c) WHERE text <> ''"""
+
+_SIGNAL = " OR ".join(f"regexp_matches(text, '{s}')" for s in SIGNALS)
+_CANDIDATES = f"""WITH c AS (SELECT chunk_id AS id, document_id, {_words("text")} AS w FROM {CHUNKS} JOIN managed_documents d USING (document_id) WHERE d.status <> 'archived' AND ({_SIGNAL})),
+s AS (SELECT id, document_id, list_sort(list_distinct({_shingles("w")})) AS s FROM c WHERE len(w) > 0), o AS (SELECT min(id) AS id, s, list(DISTINCT document_id) AS owners FROM s GROUP BY s),
+u AS (SELECT id, owners, len(s) AS n, unnest(s) AS g FROM o),
+p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS t, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id AND NOT (len(a.owners) = 1 AND a.owners = b.owners) GROUP BY ALL)
 SELECT a, b, round(k::DOUBLE / (t - k), 6) AS jaccard FROM p WHERE k::DOUBLE / (t - k) >= 0.12 ORDER BY k::DOUBLE / (t - k) DESC, a, b LIMIT 60"""
 
+_UNEMBEDDED = f"{CHUNKS} c JOIN managed_documents d ON d.document_id = c.document_id AND d.status <> 'archived' WHERE NOT EXISTS (SELECT 1 FROM chunk_embeddings e WHERE e.chunk_id = c.chunk_id AND e.embedding IS NOT NULL)"
+
 ORACLES: dict[str, str] = {
-    "annotated_lines": _LINES,
+    "annotated_lines": f"WITH {_LINES} SELECT * REPLACE (page::VARCHAR AS page) FROM lines",
+    "markdown_chunks": _CHUNKED,
     "contradiction_candidates": _CANDIDATES,
     "list_documents": f"""SELECT d.document_id, d.title, d.doc_type, v.version_no, v.conversion_engine, v.conversion_confidence, coalesce(n.chunk_count, 0) AS chunk_count, d.created_at
 FROM managed_documents d LEFT JOIN {VERSIONS} v ON v.version_id = d.current_version_id
@@ -118,8 +142,8 @@ LEFT JOIN managed_documents d ON d.document_id = v.document_id WHERE e.version_i
 WHERE d.status <> 'archived' AND d.doc_type IN ('manual', 'regulation') AND d.updated_at >= 1600000000000""",
     "category_tree": """WITH n AS (SELECT n.n_nationkey, n.n_name, n.n_regionkey, count(c.c_custkey) AS k FROM nation n LEFT JOIN customer c ON c.c_nationkey = n.n_nationkey GROUP BY ALL)
 SELECT r.r_name AS root_name, coalesce(sum(k), 0)::BIGINT AS documents, coalesce(string_agg(n_name || ':' || k, ',' ORDER BY n_nationkey), '') AS children FROM region r LEFT JOIN n ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey, r.r_name""",
-    "document_outlines": """SELECT document_id, array_to_string(list_slice(list_sort(list(heading_path)), 1, 5), ' | ') AS outline, count(*) AS headings
-FROM (SELECT DISTINCT document_id, heading_path FROM chunks WHERE heading_path IS NOT NULL) GROUP BY document_id""",
+    "document_outlines": """SELECT d.document_id, d.title, d.doc_type, coalesce(array_to_string(list_slice(list_sort(h.l), 1, 5), ' | '), '') AS outline, coalesce(len(h.l), 0) AS headings FROM managed_documents d
+LEFT JOIN (SELECT document_id, list(DISTINCT heading_path) AS l FROM chunks WHERE heading_path IS NOT NULL GROUP BY document_id) h ON h.document_id = d.document_id WHERE d.status <> 'archived' AND d.current_version_id IS NOT NULL""",
     "job_counts": "SELECT count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) FILTER (event_type = 'signup') AS signup FROM events",
     "recent_jobs": "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id LIMIT 50",
     "by_severity": "SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE o_orderpriority WHEN '1-URGENT' THEN 0 WHEN '2-HIGH' THEN 1 ELSE 2 END, o_orderdate DESC, o_orderkey LIMIT 100",
@@ -156,7 +180,8 @@ SELECT chunk_id, document_id, hit_no, round(b, 6) AS best_score, greatest(0, k -
 u AS (SELECT chunk_id, 'keyword' AS leg, r FROM k UNION ALL SELECT chunk_id, 'semantic', r FROM m),
 f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r)) AS rrf, string_agg(leg, ',' ORDER BY leg) AS matched_by FROM u GROUP BY chunk_id)
 SELECT f.chunk_id, round(rrf, 6) AS rrf, matched_by FROM f JOIN {CHUNKS} c ON c.chunk_id = f.chunk_id JOIN managed_documents d ON d.document_id = c.document_id AND d.status <> 'archived' ORDER BY f.rrf DESC, matched_by, f.chunk_id LIMIT 30""",
-    "unembedded": f"SELECT c.chunk_id, c.document_id FROM {CHUNKS} c WHERE NOT EXISTS (SELECT 1 FROM chunk_embeddings e WHERE e.chunk_id = c.chunk_id AND e.embedding IS NOT NULL)",
+    "unembedded": f"SELECT c.chunk_id, c.document_id FROM {_UNEMBEDDED}",
+    "backfilled": f"SELECT c.chunk_id, 64::BIGINT AS size FROM {_UNEMBEDDED}",
     "exact_classes": f"WITH {_CURRENT} SELECT version_id, min(version_id) OVER (PARTITION BY sha256(markdown)) AS first_version_id, count(*) OVER (PARTITION BY sha256(markdown)) AS copies FROM cur",
     "relation_likeness": f"""WITH s AS (SELECT version_id, list_distinct({_shingles("w")}) AS s FROM (SELECT version_id, {_words("markdown")} AS w FROM {VERSIONS} WHERE markdown IS NOT NULL)),
 p AS (SELECT r.relation_id, len(list_intersect(a.s, b.s))::DOUBLE AS i, len(a.s) AS na, len(b.s) AS nb FROM {RELATIONS} r JOIN s a ON a.version_id = r.a_version_id JOIN s b ON b.version_id = r.b_version_id)

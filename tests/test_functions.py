@@ -108,16 +108,21 @@ def test_freshness(spark):
     assert one(spark, fr.days_between(F.lit(fr.DAY * 3), F.lit(0))) == 0
 
 
+def spans(text, terms):
+    h = find_hits(text, terms)
+    return list(zip(h.start.tolist(), h.end.tolist(), h.term.tolist()))
+
+
 def test_highlight(spark):
     flat, at = fold_with_map("Ｐａｓｓｗｏｒｄは禁止")
     assert flat == "passwordは禁止" and at[8] == 8
     flat, at = fold_with_map("㍿Alpha")
     assert flat == "株式会社alpha" and at[flat.index("alpha")] == 1
     text = "出張時の日当は2,500円とする。宿泊費は実費精算。"
-    assert [text[s:e] for s, e, _ in find_hits(text, ["日当", "精算"])] == ["日当", "精算"]
-    assert [x[2] for x in find_hits("abcd", ["ab", "cd"])] == ["ab"]
-    assert find_hits("㍿", ["会社"]) == [(0, 1, "会社")]
-    got = excerpts("前文。" * 50, [])
+    assert [text[s:e] for s, e, _ in spans(text, ["日当", "精算"])] == ["日当", "精算"]
+    assert spans("abcd", ["ab", "cd"]) == [(0, 4, 0)] and spans("ab cd", ["cd", "ab"]) == [(0, 2, 1), (3, 5, 0)]
+    assert spans("㍿", ["会社"]) == [(0, 1, 0)]
+    got = excerpts("前文。" * 50, find_hits("", []))
     assert len(got) == 1 and got[0]["offset"] == 0 and len(got[0]["segments"][0]["text"]) == 150
     text = "x" * 300 + "申請" + "y" * 300 + "提出 申請"
     got = excerpts(text, find_hits(text, ["申請", "提出"]), 50, 1)

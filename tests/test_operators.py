@@ -14,25 +14,40 @@ def rows(df, *by):
 # ---- chunks
 
 
-def test_chunks_follow_headings_pages_and_sheets():
+def chunks_of(spark, md, target=10_000, overlap=100):
+    df = spark.createDataFrame([("k", md)], "id string, md string")
+    return [r.asDict() for r in chunk.chunk_markdown(df, "id", "md", target, overlap).orderBy("ordinal").collect()]
+
+
+def test_chunks_follow_headings_pages_and_sheets(spark):
     md = "\n".join(["# 規程", "<!-- page:1 -->", "本規程", "## 3.1 交通費", "<!-- page:1 -->", "実費", "<!-- page:2 -->", "## 3.2 旅費", "日当"])
-    c = chunk.chunk_lines(md, 10_000)
+    c = chunks_of(spark, md)
     assert [x["heading_path"] for x in c] == ["規程", "規程 > 3.1 交通費", "規程 > 3.2 旅費"]
+    assert [x["heading_anchor"] for x in c] == ["h-1-規程", "h-2-3-1-交通費", "h-3-3-2-旅費"]
     assert [(x["page_from"], x["page_to"]) for x in c] == [(1, 1), (1, 1), (2, 2)]
-    assert chunk.chunk_lines("# a\n<!-- sheet:見積 -->\n## b\nc", 10_000)[-1]["sheet_name"] == "見積"
-    assert chunk.chunk_lines("") == [] and chunk.chunk_lines("\n \n") == []
+    assert chunks_of(spark, "# a\n<!-- sheet:見積 -->\n## b\nc")[-1]["sheet_name"] == "見積"
+    assert chunks_of(spark, "") == [] and chunks_of(spark, "\n \n") == []
 
 
-def test_chunks_overlap_within_a_heading_only():
-    c = chunk.chunk_lines("# 規程\n" + "あ" * 300, 100, 20)
+def test_chunks_overlap_within_a_heading_only(spark):
+    c = chunks_of(spark, "# 規程\n" + "あ" * 300, 100, 20)
     assert len(c) > 2 and c[0]["text"][-20:] == c[1]["text"][:20]
     assert all(x["heading_path"] == "規程" for x in c)
-    flush_then_heading = chunk.chunk_lines("a" * 10 + "\n# h\nb", 10, 3)
-    assert flush_then_heading[1]["text"].startswith("aaa\n# h")
-    assert chunk.chunk_lines("a" * 10 + "\nb", 10, 0)[1]["text"] == "b"
+    assert chunks_of(spark, "a" * 10 + "\n# h\nb", 10, 3)[1]["text"].startswith("aaa\n# h")
+    assert chunks_of(spark, "a" * 10 + "\nb", 10, 0)[1]["text"] == "b"
+    assert [x["text"] for x in chunks_of(spark, "あ。い。" + "う" * 7 + "。えお。か。", 5, 0)] == ["あ。い。", "ううううう", "うう。\nえお。か。"]
+
 
+def test_anchors_number_headings_and_take_one_form(spark):
+    md = "x\n<!-- page: 3 -->\n# One\n\n <!-- page:4 -->\n<!--page:5-->\ny\n##　Two\n#no\n# Three\r"
+    df = spark.createDataFrame([("k", md)], "id string, md string")
+    got = rows(chunk.annotate_lines(df, "id", "md").select("line_no", "heading_anchor", "page", "heading_path"))
+    assert [r[0] for r in got] == [0, 1, 2, 3, 4, 6, 7, 8, 9]
+    assert [r[1] for r in got] == [None, None, "h-1-one", "h-1-one", "h-1-one", "h-1-one", "h-2-two", "h-2-two", "h-2-two"]
+    assert [r[2] for r in got] == [None] * 5 + [5] * 4 and got[-1][3] == "One > Two"
 
-def test_annotated_lines_agree_with_chunk_walk(spark):
+
+def test_annotated_lines_and_chunks_agree(spark):
     md = "x\n# A\n<!-- page:3 -->\ntext\n### C\nt\n## B\nu\n# D\nv"
     df = spark.createDataFrame([("k", md, 1), ("n", None, 2)], "id string, md string, key int")
     got = rows(chunk.annotate_lines(df, "id", "md").select("line_no", "text", "heading_path", "page"))
@@ -114,8 +129,9 @@ def test_cosine_and_topk(spark):
     df = spark.createDataFrame(v, "k long, e array<float>")
     assert rows(vector.nearest_to(df, "k", "e", [1.0, 0.0]), F.desc("score"), "id") == [(1, 1.0), (7, 1.0), (2, 0.0), (6, -1.0)]
     assert rows(vector.nearest_to(df, "k", "e", [1.0, 0.0], 1)) == [(1, 1.0)]
-    chunks = spark.createDataFrame([(4, "a"), (8, "b"), (1, "c"), (8, "b")], "chunk_id long, text string")
-    todo = vector.missing(chunks, df.select(F.col("k").alias("chunk_id"), F.col("e").alias("embedding")))
+    chunks = spark.createDataFrame([(4, "d", "a"), (8, "d", "b"), (1, "d", "c"), (8, "d", "b"), (9, "gone", "e")], "chunk_id long, document_id string, text string")
+    docs = spark.createDataFrame([("d", "active"), ("gone", "archived")], "document_id string, status string")
+    todo = vector.missing(chunks, df.select(F.col("k").alias("chunk_id"), F.col("e").alias("embedding")), docs)
     assert rows(todo.select("chunk_id")) == [(4,), (8,)]
     filled = vector.backfill(todo, HashingEmbedder(8)).collect()
     assert len(filled) == 2 and all(len(r["embedding"]) == 8 for r in filled)
@@ -289,14 +305,34 @@ def test_proposals_from_a_provider(spark):
         def complete(self, prompt, max_tokens=4000):
             return '{"categories": [{"name": "Rules", "children": ["Travel"]}]}' if "A > B" in prompt else "no"
 
-    docs = spark.createDataFrame([("d", "A > B", 1)], "document_id string, outline string, headings long")
-    assert sorted(rows(taxonomy.propose(docs, P()), "child"), key=str) == [("Rules", "Travel"), ("Rules", None)]
-    with pytest.raises(ProviderError):
-        taxonomy.propose(docs.withColumn("outline", F.lit("x")), P())
+    docs = spark.createDataFrame([(f"d{i}", "T", None, "A > B", 1) for i in range(5)], "document_id string, title string, doc_type string, outline string, headings long")
+    for lines in (2, 100):
+        assert sorted(rows(taxonomy.propose(docs, P(), lines), "child"), key=str) == [("Rules", "Travel"), ("Rules", None)]
+    with pytest.raises(Exception, match="ProviderError"):
+        taxonomy.propose(docs.withColumn("outline", F.lit("x")), P()).collect()
     d = spark.createDataFrame([("a", "active", None), ("b", "archived", None), ("c", "active", "k")], "document_id string, status string, category_id string")
     assert [r["document_id"] for r in taxonomy.unclassified(d).collect()] == ["a"]
 
 
+def test_outlines_and_classification_of_all(spark):
+    class P(TextProvider):
+        def complete(self, prompt, max_tokens=4000):
+            if "broken" in prompt:
+                raise ProviderError("down")
+            return '{"categoryPath": " Top "}' if "A | B" in prompt else '{"categoryPath": "else"}'
+
+    d = spark.createDataFrame([("a", "one", "t", "v", "active", None, 1), ("b", "two", "t", None, "active", "Old", 1), ("c", "broken", None, "v", "active", None, 1), ("e", "gone", "t", "v", "archived", None, 1), ("f", "plain", "t", "v", "active", None, 1)], "document_id string, title string, doc_type string, current_version_id string, status string, category_id string, updated_at long")
+    c = spark.createDataFrame([("a", "B"), ("a", "A"), ("a", "A"), ("a", None), ("e", "Z")], "document_id string, heading_path string")
+    o = taxonomy.outlines(d, c)
+    assert rows(o.select("document_id", "outline", "headings")) == [("a", "A | B", 2), ("c", "", 0), ("f", "", 0)]
+    cats = spark.createDataFrame([("k1", "Top", True), ("k2", "Other", False)], "id string, path string, is_ai_proposed boolean")
+    told = []
+    got = {r["document_id"]: (r["category_id"], r["updated_at"]) for r in taxonomy.classify_all(d, o, cats, P(), 9, lambda a, b: told.append((a, b))).collect()}
+    assert got == {"a": ("k1", 9), "b": ("Old", 1), "c": (None, 9), "e": (None, 1), "f": (None, 9)} and told == [(3, 3)]
+    held = d.withColumn("category_id", F.when(F.col("document_id") == "a", "k1").otherwise("k2"))
+    assert {r["document_id"]: r["category_id"] for r in taxonomy.without_proposed(held, cats).collect()} == {"a": None, "b": "k2", "c": "k2", "e": "k2", "f": "k2"}
+
+
 def test_materialised_stages_are_released(spark):
     from foliant import runtime
     from foliant.streaming.jobs import any_recent
