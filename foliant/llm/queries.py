@@ -59,19 +59,19 @@ def p3_group_sizes(spark: SparkSession, d: str) -> DataFrame:
 # ---- 4: text from scanned pages
 
 
-def _repaired(spark: SparkSession, d: str) -> DataFrame:
+def _repaired(spark: SparkSession, d: str, paragraphs: bool) -> DataFrame:
     results = table(spark, d, "conversion_results")
-    return ocr.repair_results(results, ocr.fit(results))
+    return ocr.repair_results(results, ocr.fit(results), paragraphs=paragraphs)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Damaged lines of the pages."""
-    return _repaired(spark, d).select("version_id", F.explode("defects").alias("x")).select("version_id", "x.page_no", "x.line_no", "x.defect").distinct()
+    return _repaired(spark, d, False).select("version_id", F.explode("defects").alias("x")).select("version_id", "x.page_no", "x.line_no", "x.defect").distinct()
 
 
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The repaired text of every result, paragraph by paragraph."""
-    return _repaired(spark, d).select("version_id", F.posexplode("paragraphs").alias("paragraph_no", "text"))
+    return _repaired(spark, d, True).select("version_id", F.posexplode("paragraphs").alias("paragraph_no", "text"))
 
 
 # ---- 5: most similar vectors
