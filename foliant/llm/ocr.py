@@ -176,7 +176,7 @@ def count_pages(results: Iterable[Iterable[str | None] | None]) -> tuple[Counter
                 whole.update("z" + s[i : i + 3] for i in at)
             edge = [y for y in page.split("\n") if y.strip()]
             for y in {edge[0], edge[-1]} if edge else ():
-                names[_shape(header_name(y))] += 1
+                names["".join(map(_word_shape, header_name(y).split()[:NAME_WORDS]))] += 1
         whole.update("e" + k for k, v in names.items() if v >= 2 and len(k) >= 5)
         words += own
         if not _damaged(own):
@@ -461,11 +461,14 @@ def _clusters(shapes: list[tuple[str, str]]) -> list[int]:
     return [number[root(s)] for s in shapes]
 
 
+NAME_WORDS = 8  # words of a name in a running line
+
+
 def _name_keys(line: str) -> list[str]:
     """Shapes of the beginnings of a line up to the ends of its words, as lookups; none for a line that can only be running by its repetition."""
     if len(line) >= 80 or _is_text(line):
         return []
-    return [k for k in dict.fromkeys(accumulate(map(_word_shape, line.split()))) if len(k) >= 5]
+    return [k for k in dict.fromkeys(accumulate(map(_word_shape, line.split()[:NAME_WORDS]))) if len(k) >= 5]
 
 
 def _is_text(line: str) -> bool:
@@ -765,16 +768,14 @@ def _place(lines: list[str], at: int) -> tuple[int, int]:
     raise IndexError(at)
 
 
+_ENDS = (".", "。", "!", "?", "！", "？", ":", "：", "」", "”", ")")
 LONG, MORE = 25, 0.02  # lines of a paragraph that cost nothing, and the price of each further one
 
 
-def _paragraph_breaks(lines: list[str], gaps: list[int], width: int) -> list[bool]:
-    """Whether a paragraph begins at each line. gaps: 0 none, 1 blank line, 2 page break, 3 both. Shortest path over paragraph ends."""
-    n = len(lines)
-    if not n:
-        return []
+def _break_prices(lines: list[str], gaps: list[int], width: int) -> list[float]:
+    """What it costs that a paragraph begins at each line."""
     price = []
-    for i in range(n):
+    for i in range(len(lines)):
         if i == 0:
             price.append(0.0)
             continue
@@ -787,6 +788,15 @@ def _paragraph_breaks(lines: list[str], gaps: list[int], width: int) -> list[boo
         if re.match(r"\s*#{1,6} ", lines[i - 1]):
             c -= 6.0
         price.append(c)
+    return price
+
+
+def _paragraph_breaks(lines: list[str], gaps: list[int], width: int) -> list[bool]:
+    """Whether a paragraph begins at each line. gaps: 0 none, 1 blank line, 2 page break, 3 both. Shortest path over paragraph ends."""
+    n = len(lines)
+    if not n:
+        return []
+    price = _break_prices(lines, gaps, width)
     best, back = [0.0] + [math.inf] * n, [0] * (n + 1)
     near: deque[int] = deque()  # starts 2 to LONG lines back, the best first
     far = -1  # the best of those further back, where every line more has its price
@@ -903,17 +913,23 @@ def _restored(w: str, model: Model) -> str:
 # ---------------------------------------------------------------- in Spark
 
 
-def asked(results: Iterable[Iterable[str | None] | None], model: Model) -> set[str]:
+def asked(results: Iterable[Iterable[str | None] | None], model: Model, paragraphs: bool = True) -> set[str]:
     """The entries that the pages of some results may need beside those that every task has."""
     keys: set[str] = set()
     add = keys.add
     for pages in results:
-        lines: list[str] = []
-        for page in pages if pages is not None else ():
-            ink = [x for x in (page or "").split("\n") if x.strip()]
+        inked = [[x for x in (page or "").split("\n") if x.strip()] for page in (pages if pages is not None else ())]
+        lines = [x for ink in inked for x in ink]
+        for p, ink in enumerate(inked):
             for y in {*ink[:4], *ink[-4:]}:
                 keys.update("e" + k for k in _name_keys(y))
-            lines += ink
+            for i, line in enumerate(ink):
+                if (end := line.rstrip())[-1:] in _HYPHENS and (m := _HYPHEN.search(end)):
+                    behind = ink[i + 1 : i + 2] if i + 4 < len(ink) else [*ink[i + 1 :], *(x for more in inked[p + 1 : p + 3] for x in more[:4])]  # running lines may stand between
+                    for following in behind:
+                        if h := _HEAD.match(following):
+                            add("w" + m[1] + h[1])
+                            add(f"h{m[1]}-{h[1]}")
         s = stream_of(lines)
         words = s.words
         sure = model.certain
@@ -925,12 +941,6 @@ def asked(results: Iterable[Iterable[str | None] | None], model: Model) -> set[s
             for k in (i - 1, i):
                 if k >= 0 and s.link(k) in (" ", "/"):
                     add("w" + words[k] + words[k + 1])
-        for n, line in enumerate(lines):
-            if (end := line.rstrip())[-1:] in _HYPHENS and (m := _HYPHEN.search(end)):
-                for following in lines[n + 1 : n + 12]:  # running lines may stand between
-                    if h := _HEAD.match(following):
-                        add("w" + m[1] + h[1])
-                        add(f"h{m[1]}-{h[1]}")
         if any(_WIDE.search(x) for x in lines):
             flat = _flat("\n".join(lines))
             for i in _doubtful(flat, model):
@@ -944,7 +954,7 @@ def asked(results: Iterable[Iterable[str | None] | None], model: Model) -> set[s
                     for x in _options(flat, i + 1):
                         for y in _options(flat, i + 2):
                             add("z" + c + x + y)
-        if any("�" in x or "(cid:" in x for x in lines):
+        if paragraphs and any("�" in x or "(cid:" in x for x in lines):
             for line in lines:
                 for m in _GAP.finditer(line) if _LOST.search(line) else ():
                     x = _LOST.search(m[0])
@@ -977,7 +987,7 @@ def repair_results(results: DataFrame, lexicon: Lexicon, key: str = "version_id"
         wanted: dict[int, set[str]] = defaultdict(set)
         for b in batches:
             for block, part in b.groupby("block"):
-                wanted[block] |= asked(part["pages"], shared.value)
+                wanted[block] |= asked(part["pages"], shared.value, paragraphs)
         for block, keys in wanted.items():
             yield pd.DataFrame({"block": block, "k": list(keys)})
 

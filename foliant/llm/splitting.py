@@ -1,7 +1,7 @@
 """Cutting oversized texts at natural boundaries: structure-tree packing.
 
-A text is read as a tree: headings nest by level, below them blocks between blank lines, then lines, then
-sentences. A node within the limit is left whole. An oversized node is opened; what its children yield is
+A text is read as a tree: headings nest by level, below them blocks between blank lines, in them lists with nested items, tables with
+rows, and lines, then sentences. A node within the limit is left whole. An oversized node is opened; what its children yield is
 merged bottom-up, neighbour by neighbour, as far as the limit allows, so pieces end at the coarsest boundary that fits.
 Only a sentence that is itself too long is cut inside, at white space where there is any.
 """
@@ -17,16 +17,14 @@ from pyspark.sql import DataFrame
 from foliant.runtime import spread
 
 DEFAULT_TARGET, DEFAULT_OVERLAP = 700, 100
-LEVELS = ("section", "heading", "paragraph", "line", "sentence", "none")
 _BLANK = re.compile(r"(?:^|(?<=\n))[^\S\n]*(?:\n|\Z)")
 _SENTENCE = re.compile(r"\n|[。！？!?]|\.(?=\s)")
 _HEAD = re.compile(r"^(#{1,6})[ \t]+\S", re.M)
-_LIST_OR_TABLE = re.compile(r"[ \t]*(?:[-*+]\s|\d+[.)]\s|\|)")
-
-
-def _fits(text: str, cuts: list[int], limit: int) -> bool:
-    """Whether no stretch between neighbouring cuts, without white space at its ends, is longer than the limit."""
-    return all(b - a <= limit or len(text[a:b].strip()) <= limit for a, b in zip([0, *cuts], [*cuts, len(text)]))
+_ITEM = re.compile(r"^([ \t]*)(?:[-*+•・]|\d+[.)])[ \t]+\S", re.M)
+_ROW = re.compile(r"[ \t]*\|")
+#: Kinds of nodes, and the boundary that cutting out such a node needs.
+BOUNDARY = {"section": "paragraph", "block": "paragraph", "part": "line", "item": "line", "line": "line", "sentence": "sentence"}
+_ORDER = ("paragraph", "line", "sentence", "none")
 
 
 def _paragraph_cuts(text: str, a: int, b: int) -> list[int]:
@@ -43,17 +41,40 @@ def _paragraph_cuts(text: str, a: int, b: int) -> list[int]:
     return [c for c in cuts if a < c < b]
 
 
-def _cuts(text: str, a: int, b: int, level: str) -> list[int]:
-    if level == "heading":
-        heads = [(m.start(), len(m[1])) for m in _HEAD.finditer(text, a, b)]
-        inner = [h for h in heads if text[a : h[0]].strip()]
-        top = min((n for _, n in inner), default=0)
-        return [s for s, n in inner if n == top and s > a]
-    if level == "paragraph":
-        return _paragraph_cuts(text, a, b)
-    if level == "line":
-        return [m.end() for m in re.compile("\n").finditer(text, a, b) if m.end() < b]
-    return [m.end() for m in _SENTENCE.finditer(text, a, b) if m.end() < b]
+def _line_cuts(text: str, a: int, b: int) -> list[int]:
+    return [m.end() for m in re.compile("\n").finditer(text, a, b) if m.end() < b]
+
+
+def _outermost(found: list[tuple[int, int]]) -> list[int]:
+    """Places of the marks of the lowest depth."""
+    top = min((d for _, d in found), default=0)
+    return [at for at, d in found if d == top]
+
+
+def _children(text: str, a: int, b: int, kind: str) -> tuple[list[int], str]:
+    """Where the node [a, b) parts into its children, and their kind; no kind for a node without children.
+
+    A section holds the sections of its outermost headings, or blocks between blank lines. A block parts at headings within, a list into
+    its items with all that is indented below them, a table behind its head and then by rows, other text into lines, a line into sentences.
+    """
+    if kind == "section":
+        starts = {a, *_paragraph_cuts(text, a, b)}
+        cuts = _outermost([(m.start(), len(m[1])) for m in _HEAD.finditer(text, a, b) if m.start() in starts and text[a : m.start()].strip()])
+        return (cuts, "section") if cuts else (_paragraph_cuts(text, a, b), "block")
+    if kind in ("block", "part"):
+        if cuts := _outermost([(m.start(), len(m[1])) for m in _HEAD.finditer(text, a, b) if text[a : m.start()].strip()]):
+            return cuts, "part"
+        lines = _line_cuts(text, a, b)
+        if len(lines) > 1 and _ROW.match(text, a) and _ROW.match(text, lines[0]) and "-" in text[lines[0] : lines[1]]:
+            return lines[1:], "line"
+    if kind in ("block", "part", "item"):
+        if cuts := _outermost([(m.start(), len(m[1].expandtabs(4))) for m in _ITEM.finditer(text, a, b) if m.start() > a]):
+            return cuts, "item"
+        return _line_cuts(text, a, b), "line"
+    if kind == "line":
+        cuts = [m.end() for m in _SENTENCE.finditer(text, a, b) if m.end() < b]
+        return cuts, "sentence"
+    return [], ""
 
 
 def _hard(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
@@ -72,45 +93,37 @@ def _hard(text: str, a: int, b: int, limit: int) -> list[tuple[int, int]]:
     return [*out, (a, b)]
 
 
-def _pack(text: str, a: int, b: int, limit: int, level: int) -> tuple[list[tuple[int, int]], int]:
-    """Pieces of [a, b) within the limit and the deepest level opened for them."""
+def _pack(text: str, a: int, b: int, limit: int, kind: str = "section") -> list[tuple[int, int]]:
+    """Pieces of the node [a, b) within the limit: it is opened only if it is too long, and what its children yield is merged neighbour by neighbour."""
     if b - a <= limit:
-        return [(a, b)], level
-    deepest = level + 1
-    name = LEVELS[level + 1]
-    if name == "none":
-        return _hard(text, a, b, limit), deepest
-    cuts = _cuts(text, a, b, name)
-    parts: list[tuple[int, int]] = []
+        return [(a, b)]
+    cuts, below = _children(text, a, b, kind)
+    if not below:
+        return _hard(text, a, b, limit)
+    merged: list[tuple[int, int]] = []
     for x, y in zip([a, *cuts], [*cuts, b]):
-        if y - x <= limit:
-            parts.append((x, y))
-            continue
-        again = level if name == "heading" and cuts else level + 1  # nested headings stay on the heading level
-        got, deep = _pack(text, x, y, limit, again)
-        deepest = max(deepest, deep)
-        parts += got
-    merged = parts[:1]
-    for x, y in parts[1:]:
-        if y - merged[-1][0] <= limit or not text[x:y].strip() and y - merged[-1][0] <= limit:
-            merged[-1] = (merged[-1][0], y)
-        else:
-            merged.append((x, y))
-    return merged, deepest
+        for c, d in [(x, y)] if y - x <= limit else _pack(text, x, y, limit, below):
+            if merged and d - merged[-1][0] <= limit:
+                merged[-1] = (merged[-1][0], d)
+            else:
+                merged.append((c, d))
+    return merged
+
+
+def _opened(text: str, a: int, b: int, target: int, kind: str) -> int:
+    """How deep the tree below the node [a, b), which is cut out itself, has to be opened until no node is longer than the target, white space at its ends aside."""
+    own = _ORDER.index(BOUNDARY[kind])
+    if b - a <= target or len(text[a:b].strip()) <= target:
+        return own
+    cuts, below = _children(text, a, b, kind)
+    if not below:
+        return _ORDER.index("none")
+    return max(own, *(_opened(text, x, y, target, below) for x, y in zip([a, *cuts], [*cuts, b])))
 
 
 def boundary_of(text: str, target: int) -> str | None:
-    """The coarsest boundary at which cutting everywhere leaves no stretch longer than the target; null if the text fits."""
-    if len(text) <= target:
-        return None
-    blank = [c for m in _BLANK.finditer(text) if m.end() > m.start() for c in (m.start(), m.end())]
-    if _fits(text, blank, target):
-        return "paragraph"
-    if _fits(text, [m.end() for m in re.finditer("\n", text)], target):
-        return "line"
-    if _fits(text, [m.end() for m in _SENTENCE.finditer(text)], target):
-        return "sentence"
-    return "none"
+    """The coarsest boundary at which cutting everywhere leaves no stretch longer than the target: that of the deepest nodes that the tree has to be opened to. Null if the text fits."""
+    return None if len(text) <= target else _ORDER[_opened(text, 0, len(text), target, "section")]
 
 
 def split_text(text: str | None, target: float | None, overlap: float | None) -> list[tuple[int, int, int, str]]:
@@ -118,7 +131,7 @@ def split_text(text: str | None, target: float | None, overlap: float | None) ->
 
     No piece is longer than the target. The overlap is exact unless the text before is shorter. A missing or
     non-positive target counts as the default, a missing overlap as the default, a negative one as 0; an overlap
-    that would leave no room is halved to target // 2.
+    of the target or more, which leaves no room for text, counts as half of the target.
     """
     if text is None:
         return []
@@ -126,8 +139,10 @@ def split_text(text: str | None, target: float | None, overlap: float | None) ->
     lap = max(0, int(overlap)) if overlap == overlap and overlap is not None else DEFAULT_OVERLAP
     if len(text) <= size:
         return [(0, 0, len(text), "")]
-    lap = min(lap, size // 2)
-    pieces, _ = _pack(text, 0, len(text), size - lap, 0)
+    lap = lap if lap < size else size // 2
+    pieces = _pack(text, 0, len(text), size - lap)
+    while lap and len(pieces) > 1 and pieces[1][1] <= size:  # the first piece repeats nothing, so it has more room
+        pieces[:2] = [(0, pieces[1][1])]
     boundary = boundary_of(text, size) or ""
     return [(max(0, a - lap) if i else a, a, b, boundary) for i, (a, b) in enumerate(pieces)]
 

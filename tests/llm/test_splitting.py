@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -12,7 +14,7 @@ def test_round_trip_limit_and_overlap(text, target, overlap):
     got = split_text(text, target, overlap)
     assert "".join(text[b:e] for _, b, e, _ in got) == text
     assert all(e - a <= target for a, _, e, _ in got)
-    lap = min(overlap, target // 2)
+    lap = overlap if overlap < target else target // 2
     assert all(b - a == min(lap, b) for a, b, _, _ in got[1:])
     assert (len(got) == 1) == (len(text) <= target) or len(text) <= target
     assert all(b == p[2] for p, (_, b, _, _) in zip(got, got[1:]))
@@ -44,6 +46,45 @@ def test_headings_hold_together():
     assert [g.split("\n")[0] for g in (text[b:e] for _, b, e, _ in split_text(text, 35, 0))] == ["# A", "## A1", "## A2", "# B"]
 
 
+def plain_boundary(text, target):
+    """The definition, without a tree."""
+    if len(text) <= target:
+        return None
+    fits = lambda parts: all(len(x.strip()) <= target for x in parts)
+    lines = text.split("\n")
+    blocks, held = [], []
+    for x in lines:
+        if x.strip():
+            held.append(x)
+        else:
+            blocks.append("\n".join(held))
+            held = []
+    if fits([*blocks, "\n".join(held)]):
+        return "paragraph"
+    if fits(lines):
+        return "line"
+    return "sentence" if fits(re.split(r"(?<=[。！？!?])|(?<=\.)(?=\s)|\n", text)) else "none"
+
+
+@given(TEXT, st.integers(1, 40))
+@settings(max_examples=600, deadline=None)
+def test_boundary_equals_the_definition(text, target):
+    assert boundary_of(text, target) == plain_boundary(text, target)
+
+
+def test_lists_and_tables_are_nodes():
+    text = "- one\n  more\n  - sub a\n  - sub b\n- two\n  - sub c\n- three"
+    assert [text[b:e] for _, b, e, _ in split_text(text, 34, 0)] == ["- one\n  more\n  - sub a\n  - sub b\n", "- two\n  - sub c\n- three"]
+    assert [text[b:e] for _, b, e, _ in split_text(text, 22, 0)] == ["- one\n  more\n", "  - sub a\n  - sub b\n", "- two\n  - sub c\n", "- three"]
+    table = "| a | b |\n|---|---|\n| 1 | 2 |\n| 3 | 4 |\n| 5 | 6 |"
+    assert [table[b:e] for _, b, e, _ in split_text(table, 30, 0)] == ["| a | b |\n|---|---|\n| 1 | 2 |\n", "| 3 | 4 |\n| 5 | 6 |"]
+
+
+def test_overlap_is_as_asked_where_it_leaves_room():
+    assert {b - a for a, b, _, _ in split_text("x" * 5_000, 700, 400)[1:]} == {400} and split_text("x" * 5_000, 700, 400)[0][2] == 600
+    assert {b - a for a, b, _, _ in split_text("x" * 5_000, 700, 700)[1:]} == {350}
+
+
 def test_in_spark(spark):
     rows = [(1, "v", "d", "H > I", "x" * 900, None, None, 1), (2, "v", "d", None, None, 10, 1, 1), (3, "v", "d", "h", "", 10, 1, 1), (4, "v", "d", "h", "ab\n\ncd", 3, 0, 1), (5, "v", "d", "h", "abcd", 0, -1, 1)]
     df = spark.createDataFrame(rows, "section_id long, version_id string, document_id string, heading_path string, text string, target_size int, overlap int, piece_no int")
