@@ -4,7 +4,9 @@ The corpus is read once into index segments, one for each few megabytes of text:
 which it stands. Terms are words; for Chinese and Japanese items, where a word is a character, a term is the three characters from a
 position on. The segments are written to the shared folder. Their totals tell which terms are rare. To look an item up,
 every window of the passage length is entered at its rarest term; the position lists of the neighbouring terms, each
-shifted by its offset in the item, are intersected with that term's list, and what survives is followed to both ends.
+shifted by its offset in the item, are intersected with that term's list, and what survives is followed to both ends. An item whose terms
+stand near each other, changed or reordered in part, is found by the same lists: of its rarest terms, so many that some must be there, those
+that meet within a window lead to the places where all its terms are counted.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from foliant.runtime import discard, materialise, spread
 
 PASSAGE_WORDS, PASSAGE_CHARS, GRAM = 8, 20, 3
 SEGMENT_BYTES = 4_000_000
-#: Test items are looked up in blocks of at most so many characters; a block's terms are what is broadcast.
-BLOCK_CHARS = 2_000_000
+#: The terms of at most so many characters of test items are indexed at once, which is what is broadcast; items are looked up in blocks of at most so many.
+INDEX_CHARS, BLOCK_CHARS = 16_000_000, 2_000_000
+#: An item is near a place where a window of its length and a quarter holds this share of its terms.
+NEAR, ROOM = 0.8, 4
 DROP, BREAK, WORD, WIDE = 0, 1, 2, 3
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -112,8 +116,8 @@ def streams(texts: list[str]) -> Streams:
     starts = np.flatnonzero(fresh[at])
     if len(at):
         w = np.cumsum(fresh[at]) - 1
-        power = np.cumprod(np.full(64, _P, dtype=np.uint64))
-        nth = np.minimum(np.arange(len(at)) - starts[w], 63)
+        nth = np.arange(len(at)) - starts[w]
+        power = np.cumprod(np.full(int(nth.max()) + 1, _P, dtype=np.uint64))
         h = (code[at].astype(np.uint64) + np.uint64(1)) * power[nth]
         word_hash = np.add.reduceat(h, starts)
     else:
@@ -308,18 +312,40 @@ def _follow(stream: np.ndarray, items: Items, item: np.ndarray, place: np.ndarra
     return n
 
 
-def _passages(items: Items, who: np.ndarray, place: np.ndarray, names: np.ndarray, n: np.ndarray, at: np.ndarray, length: int, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(item, first place, terms, position) of all passages in one segment."""
+@dataclass
+class Lists:
+    """The position lists of one segment for a block of items, by term number, and the same as a stream of terms (-1 where another one stands)."""
+
+    first: np.ndarray
+    count: np.ndarray
+    at: np.ndarray
+    stream: np.ndarray
+
+    def of(self, who: np.ndarray, place: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, place, position) of all occurrences of the terms at some places of items."""
+        term = items.seq[items.start[who] + place]
+        c = self.count[term]
+        at = self.at[np.repeat(self.first[term], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)] if len(self.at) else np.zeros(0, dtype=np.int64)
+        return np.repeat(who, c), np.repeat(place, c), at
+
+
+def _lists(names: np.ndarray, n: np.ndarray, at: np.ndarray, length: int, number: np.ndarray, terms: int) -> Lists:
+    """number: the block's number of each indexed term, -1 for those that it doesn't have."""
+    mine = number[names]
+    keep = np.repeat(mine >= 0, n)
+    at, n, mine = at[keep], n[mine >= 0], mine[mine >= 0]
     stream = np.full(length, -1, dtype=np.int32)
-    stream[at] = np.repeat(names, n)
-    first, count = np.zeros(len(items.vocab) + 1, dtype=np.int64), np.zeros(len(items.vocab) + 1, dtype=np.int64)
-    first[names], count[names] = np.cumsum(n) - n, n
+    stream[at] = np.repeat(mine, n)
+    first, count = np.zeros(terms + 1, dtype=np.int64), np.zeros(terms + 1, dtype=np.int64)
+    first[mine], count[mine] = np.cumsum(n) - n, n
+    return Lists(first, count, at, stream)
+
+
+def _passages(items: Items, who: np.ndarray, place: np.ndarray, lists: Lists, wide: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(item, first place, terms, position) of all passages in one segment."""
+    stream = lists.stream
     pick = items.wide[who] == wide
-    who, place = who[pick], place[pick]
-    term = items.seq[items.start[who] + place]
-    c = count[term]
-    item, q = np.repeat(who, c), np.repeat(place, c)
-    pos = at[np.repeat(first[term], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)] if len(at) else np.zeros(0, dtype=np.int64)
+    item, q, pos = lists.of(who[pick], place[pick], items)
     w = PASSAGE_CHARS - GRAM + 1 if wide else PASSAGE_WORDS
     half = w // 2
     right = _follow(stream, items, item, q, pos, 1, half)
@@ -334,26 +360,112 @@ def _passages(items: Items, who: np.ndarray, place: np.ndarray, names: np.ndarra
     return seen[0], seen[1], seen[2], seen[3]
 
 
-MATCH = "doc_id long, item_id long, item_words int, covered int, passages int, longest int, first_at int"
+@dataclass
+class Rarest:
+    """Of each item the places of its rarest terms, and how many of them a place near it must have."""
+
+    who: np.ndarray
+    place: np.ndarray
+    need: np.ndarray
 
 
-def match(index: DataFrame, items: Items, total: np.ndarray) -> DataFrame:
-    """One row for each document and item with a passage in common; columns of `MATCH`. covered: the item's words that lie in passages; first_at: where in the text the first passage begins, in words (characters)."""
+def rarest(items: Items, total: np.ndarray) -> Rarest:
+    """If at most a fifth of an item's terms may lack, then of any two fifths and one a fifth and one must be there."""
+    who, place, need = [], [], []
+    for i in range(len(items.ids)):
+        q = items.seq[items.start[i] : items.start[i + 1]]
+        lack = len(q) - int(np.ceil(NEAR * len(q) - 1e-9))
+        m = min(len(q), 2 * lack + 1)
+        at = np.argsort(total[q], kind="stable")[:m]
+        who.append(np.full(m, i))
+        place.append(at)
+        need.append(m - lack)
+    z = np.zeros(0, dtype=np.int64)
+    return Rarest(np.concatenate(who), np.concatenate(place), np.array(need)) if who else Rarest(z, z, z)
+
+
+def _fullest(stream: np.ndarray, item: np.ndarray, room: int) -> tuple[int, int]:
+    """(terms, start) of the first window of `room` places that holds most terms of an item, each as often as the item has it."""
+    left = np.bincount(item, minlength=1)
+    at = np.flatnonzero(np.isin(stream, item))
+    have: dict[int, int] = {}
+    held = best = start = 0
+    a = 0
+    for b in at.tolist():
+        t = int(stream[b])
+        have[t] = have.get(t, 0) + 1
+        held += have[t] <= left[t]
+        while at[a] <= b - room:
+            t = int(stream[at[a]])
+            held -= have[t] <= left[t]
+            have[t] -= 1
+            a += 1
+        if held > best:
+            best, start = held, int(at[a])
+    return best, start
+
+
+def _near(items: Items, r: Rarest, lists: Lists, starts: np.ndarray, wide: bool) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, terms, position) where a window holds enough of an item's terms; the fullest window of each document, the first of equals."""
+    pick = items.wide[r.who] == wide
+    item, _, pos = lists.of(r.who[pick], r.place[pick], items)
+    if not len(item):
+        return
+    seen = np.unique(np.stack([item, pos]), axis=1)  # a term that an item has twice is found twice
+    item, pos = seen[0], seen[1]
+    doc = np.searchsorted(starts, pos, side="right") - 1
+    size = (items.start[1:] - items.start[:-1])[item]
+    room = size + size // ROOM
+    j = np.arange(len(item)) + r.need[item] - 1
+    ok = j < len(item)
+    j = np.minimum(j, len(item) - 1)
+    ok &= (item[j] == item) & (doc[j] == doc) & (pos[j] - pos < room)
+    best: dict[tuple[int, int], tuple[int, int]] = {}
+    end: dict[tuple[int, int], int] = {}
+    for x in np.flatnonzero(ok).tolist():
+        d, i, w = int(doc[x]), int(item[x]), int(room[x])
+        if pos[x] < end.get((d, i), -1):
+            continue
+        # all windows that hold this occurrence and the next ones up to a window further
+        a, b = max(int(starts[d]), int(pos[x]) - w + 1), min(int(starts[d + 1]), int(pos[x]) + 2 * w)
+        end[d, i] = int(pos[x]) + w
+        n, at = _fullest(lists.stream[a:b], items.seq[items.start[i] : items.start[i + 1]], w)
+        if n >= NEAR * size[x] - 1e-9 and n > best.get((d, i), (0, 0))[0]:
+            best[d, i] = n, a + at
+    for (d, i), (n, at) in best.items():
+        yield d, i, n, at
+
+
+MATCH = "doc_id long, item_id long, kind string, item_words int, covered int, passages int, longest int, first_at int"
+
+
+def match(index: DataFrame, items: Items, total: np.ndarray, number: np.ndarray) -> DataFrame:
+    """One row for each document and item with a passage in common (kind phrase), and one for each place near an item (kind near); columns of `MATCH`.
+
+    covered: the item's words that lie in passages, or its terms that the fullest window holds; first_at: where in the text the first passage or
+    the window begins, in words (characters). A passage agrees in eight hashes of 64 bits or more, so no text is read again to confirm it.
+    """
     who, place = entries(items, total)
-    shared = index.sparkSession.sparkContext.broadcast((items, who, place))
+    shared = index.sparkSession.sparkContext.broadcast((items, who, place, rarest(items, total), number))
+    names_out = [c.split()[0] for c in MATCH.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        it, who, place = shared.value
+        it, who, place, rare, number = shared.value
         for batch in batches:
             for row in batch.to_pylist():
                 docs, ws, gs = (np.frombuffer(zlib.decompress(row[c]), dtype=np.int64) for c in ("docs", "word_starts", "gram_starts"))
-                parts = []
+                parts, near = [], []
                 for wide, kind, starts, more in ((False, "word", ws, 0), (True, "gram", gs, GRAM - 1)):
-                    names, n, at = _read(row[f"{kind}_term"], row[f"{kind}_n"], row[f"{kind}_at"])
-                    item, q, size, pos = _passages(it, who, place, names, n, at, int(starts[-1]) + 1, wide)
+                    if not (it.wide == wide).any():
+                        continue
+                    lists = _lists(*_read(row[f"{kind}_term"], row[f"{kind}_n"], row[f"{kind}_at"]), int(starts[-1]) + 1, number, len(it.vocab))
+                    item, q, size, pos = _passages(it, who, place, lists, wide)
                     d = np.searchsorted(starts, pos, side="right") - 1
                     parts.append(pd.DataFrame({"d": d, "item": item, "a": q, "b": q + size + more, "at": pos - starts[d]}))
-                p = pd.concat(parts)
+                    near += [(docs[d], it.ids[i], "near", it.size[i], n, 0, 0, at - starts[d]) for d, i, n, at in _near(it, rare, lists, starts, wide)]
+                if near:
+                    yield pd.DataFrame(near, columns=names_out)
+                p = pd.concat(parts) if parts else pd.DataFrame()
                 if not len(p):
                     continue
                 p = p.sort_values(["d", "item", "a", "b"])
@@ -363,30 +475,47 @@ def match(index: DataFrame, items: Items, total: np.ndarray) -> DataFrame:
                 p["size"] = p["b"] - p["a"]
                 g = p.groupby(["d", "item"], sort=False).agg(covered=("fresh", "sum"), passages=("a", "size"), longest=("size", "max"), first_at=("at", "min")).reset_index()
                 i = g["item"].to_numpy()
-                yield pd.DataFrame({"doc_id": docs[g["d"]], "item_id": it.ids[i], "item_words": it.size[i].astype(np.int32), "covered": g["covered"].astype(np.int32), "passages": g["passages"].astype(np.int32), "longest": g["longest"].astype(np.int32), "first_at": g["first_at"].astype(np.int32)})
+                yield pd.DataFrame({"doc_id": docs[g["d"]], "item_id": it.ids[i], "kind": "phrase", "item_words": it.size[i], "covered": g["covered"], "passages": g["passages"], "longest": g["longest"], "first_at": g["first_at"]})
 
     def arrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([(c.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[c.split()[1]]) for c in MATCH.split(", ")])
         for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, preserve_index=False)
+            yield pa.RecordBatch.from_pandas(frame, schema=schema, preserve_index=False)
 
     return index.mapInArrow(arrow, MATCH)
 
 
+def _joined(parts: list[Items]) -> Items:
+    """Items that hold the terms of several blocks, for the index."""
+    vocab = np.unique(np.concatenate([p.vocab for p in parts]))
+    z = np.zeros(0, dtype=np.int64)
+    return Items(z, np.concatenate([p.wide for p in parts]), z, z, z, vocab, _table(vocab))
+
+
 def find_leaks(docs: DataFrame, key: str, text: str, tests: DataFrame, test_key: str, test_text: str) -> DataFrame:
-    """All (document, item) with a common passage of PASSAGE_WORDS words, or PASSAGE_CHARS characters, in a row; columns of `MATCH`.
+    """All (document, item) with a common passage of PASSAGE_WORDS words, or PASSAGE_CHARS characters, in a row, or with a place near the item; columns of `MATCH`.
 
-    The test set is taken in blocks of BLOCK_CHARS characters, each against all documents. Null keys and texts take no part, and
+    The corpus is read once for every INDEX_CHARS of test items, which are then looked up in blocks of BLOCK_CHARS. Null keys and texts take no part, and
     items shorter than a passage match nothing; the key of an item should be unique; repeated document rows are answered again.
     """
     sized = tests.select(F.col(test_key).cast("long").alias("k"), F.col(test_text).alias("t")).where("k is not null and t is not null")
-    n = sized.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(n) // BLOCK_CHARS))
+    n = int(sized.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0])
+    blocks = max(1, -(-n // BLOCK_CHARS))
+    together = max(1, INDEX_CHARS // BLOCK_CHARS)
     out = None
-    for b in range(blocks):
-        rows = sized.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).orderBy("k").collect()
-        items = prepare([r["k"] for r in rows], [r["t"] for r in rows])
-        index = materialise(build_index(docs, key, text, items), "postings")
-        got = materialise(match(index, items, term_totals(index, len(items.vocab))), "matches")
+    for first in range(0, blocks, together):
+        parts = []
+        for b in range(first, min(first + together, blocks)):
+            rows = sized.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b).orderBy("k").collect()
+            parts.append(prepare([r["k"] for r in rows], [r["t"] for r in rows]))
+        whole = _joined(parts)
+        index = materialise(build_index(docs, key, text, whole), "postings")
+        total = term_totals(index, len(whole.vocab))
+        for items in parts:
+            mine = np.searchsorted(whole.vocab, items.vocab)
+            number = np.full(len(whole.vocab) + 1, -1, dtype=np.int32)
+            number[mine] = np.arange(len(mine))
+            got = materialise(match(index, items, total[mine], number), "matches")
+            out = got if out is None else out.unionByName(got)
         discard(index)
-        out = got if out is None else out.unionByName(got)
     return out

@@ -989,7 +989,8 @@ def repair_results(results: DataFrame, lexicon: Lexicon, key: str = "version_id"
             for block, part in b.groupby("block"):
                 wanted[block] |= asked(part["pages"], shared.value, paragraphs)
         for block, keys in wanted.items():
-            yield pd.DataFrame({"block": block, "k": list(keys)})
+            if keys:
+                yield pd.DataFrame({"block": block, "k": list(keys)})
 
     wanted = dealt.mapInPandas(ask, "block int, k string")
     facts = wanted.join(lexicon.table, "k").select("block", "k", "n", "meant", "price", "at")

@@ -121,14 +121,14 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Documents and the items of which they hold a passage, with the share of the item that they hold."""
+    """Documents and the items of which they hold a passage (phrase) or most words near each other (near), with the share of the item that they hold."""
     m = leaks.find_leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
     return m.withColumn("share", F.round(F.col("covered") / F.col("item_words"), 6))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that repeat at least half of an item."""
-    return p8_matches(spark, d).where(F.col("covered") * 2 >= F.col("item_words")).select("doc_id", "item_id")
+    return p8_matches(spark, d).where("kind = 'phrase'").where(F.col("covered") * 2 >= F.col("item_words")).select("doc_id", "item_id")
 
 
 # ---- 9: languages
