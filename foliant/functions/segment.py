@@ -1,16 +1,11 @@
 """Words of a text for indexing and querying.
 
-Profile `simple` stays in the JVM: runs of letters and digits of the lower-cased text. Profile `icu` uses the dictionary-based word
-breaks of the ICU library in Spark's own jars. Index and query must use the same profile.
+Profile `icu`, the default, uses the dictionary-based word breaks of the ICU library in Spark's own jars, which part Japanese and Chinese.
+Profile `simple` takes runs of letters and digits, as SQL can state them. Both stay in the JVM. Index and query must use the same profile.
 """
 
 from __future__ import annotations
 
-import os
-import subprocess
-import tempfile
-import zipfile
-from functools import cache
 from pathlib import Path
 
 from pyspark.sql import Column, SparkSession, functions as F
@@ -20,68 +15,35 @@ STOPWORDS = ("の", "は", "が", "を", "に", "で", "と", "も", "や", "な
 # The sentence the segmenter is checked with, and its least number of words.
 DIAGNOSTIC, DIAGNOSTIC_WORDS = "当社の情報セキュリティ管理規程は令和6年4月1日に改訂されました", 12
 WORD = r"[\p{L}\p{N}]+"
+DEFAULT = "icu"
 
-_JAVA = """
-import com.ibm.icu.text.BreakIterator;
-import com.ibm.icu.util.ULocale;
-import org.apache.spark.sql.api.java.UDF1;
-public class IcuWords implements UDF1<String, String[]> {
-  private transient BreakIterator it;
-  public String[] call(String s) {
-    if (s == null) return null;
-    if (it == null) it = BreakIterator.getWordInstance(ULocale.JAPANESE);
-    it.setText(s);
-    java.util.ArrayList<String> out = new java.util.ArrayList<>();
-    int a = it.first();
-    for (int b = it.next(); b != BreakIterator.DONE; a = b, b = it.next())
-      if (it.getRuleStatus() >= BreakIterator.WORD_NUMBER) out.add(s.substring(a, b));
-    return out.toArray(new String[0]);
-  }
-}
-"""
+#: The compiled form of icu/IcuWords.java beside it, against the icu4j and Spark jars of the installation.
+JAR = Path(__file__).parent / "icu" / "icu-words.jar"
+_ENABLED: set[str] = set()
 
 
-@cache
-def _icu_jar() -> str | None:
-    """Compile the ICU function once a process; null where no compiler is at hand."""
-    import pyspark
-
-    jars = os.path.join(os.path.dirname(pyspark.__file__), "jars", "*")
-    d = Path(tempfile.mkdtemp(prefix="icu-words-"))
-    (d / "IcuWords.java").write_text(_JAVA)
-    try:
-        subprocess.run(["javac", "-cp", jars, "-d", str(d), str(d / "IcuWords.java")], check=True, capture_output=True, timeout=120)
-    except (OSError, subprocess.SubprocessError):
-        return None
-    with zipfile.ZipFile(d / "icu-words.jar", "w") as z:
-        z.write(d / "IcuWords.class", "IcuWords.class")
-    return str(d / "icu-words.jar")
-
-
-def enable_icu(spark: SparkSession) -> bool:
-    """Register the function `icu_words` in the session; false where that isn't possible."""
-    jar = _icu_jar()
-    if jar is None:
-        return False
-    try:
-        spark.sql(f"ADD JAR '{jar}'")
+def enable_icu(spark: SparkSession) -> None:
+    """Register the function `icu_words` in the session, once; the jar goes to all executors."""
+    app = f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+    if app not in _ENABLED:
+        spark.sql(f"ADD JAR '{JAR}'")
         spark.udf.registerJavaFunction("icu_words", "IcuWords", "array<string>")
-        return True
-    except Exception:  # noqa: BLE001 - any failure means the profile isn't there
-        return False
+        _ENABLED.add(app)
 
 
-def words(text: Column, profile: str = "simple") -> Column:
+def words(text: Column, profile: str = DEFAULT) -> Column:
     """The words of a text in order, lower case, without stop words. Null for null."""
+    if profile == "icu":
+        enable_icu(SparkSession.active())
     raw = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)) if profile == "simple" else F.transform(F.call_function("icu_words", text), F.lower)
     return F.filter(raw, lambda w: ~w.isin(*STOPWORDS))
 
 
-def tokenised(text: Column, profile: str = "simple") -> Column:
+def tokenised(text: Column, profile: str = DEFAULT) -> Column:
     return F.array_join(words(text, profile), " ")
 
 
-def query_terms(spark: SparkSession, query: str, profile: str = "simple") -> list[str]:
+def query_terms(spark: SparkSession, query: str, profile: str = DEFAULT) -> list[str]:
     """The words of a query, repeated ones kept; empty for a query without words."""
     return spark.range(1).select(words(F.lit(query), profile).alias("w")).first()["w"] or []
 

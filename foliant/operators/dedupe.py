@@ -6,7 +6,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from foliant.functions.segment import words
+from foliant.functions.segment import DEFAULT, enable_icu, words
 from foliant.functions.shingle import containment, hamming, jaccard, shingles, simhash48
 
 # Largest distance of two hashes, least containment for "contained in".
@@ -27,14 +27,22 @@ def exact_classes(current: DataFrame) -> DataFrame:
     return h.join(c, "content_hash")
 
 
-def representatives(current: DataFrame) -> DataFrame:
-    """One row for each content: (version_id, document_id, documents, shingles, simhash). Shingles are a set for likeness, a list for the hash."""
+def representatives(current: DataFrame, profile: str = DEFAULT) -> DataFrame:
+    """One row for each content: (version_id, document_id, shingles, simhash); document_id is null where several documents have the content. Shingles are a set for likeness, a list for the hash."""
+    if profile == "icu":
+        enable_icu(current.sparkSession)
     h = current.withColumn("content_hash", F.sha2("markdown", 256))
-    one = h.groupBy("content_hash").agg(F.min(F.struct("version_id", "document_id")).alias("m"), F.first("markdown").alias("markdown"))
-    s = one.select("m.version_id", "m.document_id", shingles(words(F.col("markdown"))).alias("list"))
+    one = h.groupBy("content_hash").agg(F.min("version_id").alias("version_id"), F.when(F.min("document_id") == F.max("document_id"), F.min("document_id")).alias("document_id"), F.first("markdown").alias("markdown"))
+    s = one.select("version_id", "document_id", shingles(words(F.col("markdown"), profile)).alias("list"))
     return s.select("version_id", "document_id", F.array_distinct("list").alias("shingles"), simhash48("list").alias("simhash"))
 
 
+def contents(current: DataFrame) -> DataFrame:
+    """(version_id, document_id, content_id): every version with the representative of its content, the smallest version that has it."""
+    h = current.select("version_id", "document_id", F.sha2("markdown", 256).alias("content_hash"))
+    return h.join(h.groupBy("content_hash").agg(F.min("version_id").alias("content_id")), "content_hash").drop("content_hash")
+
+
 def band_keys(h: Column, bands: int = 9, free: int = 1, bits: int = 48) -> Column:
     """Keys of which two hashes share one if they differ in at most bands - free bits: the values of every `free` of the bands.
 
@@ -45,23 +53,35 @@ def band_keys(h: Column, bands: int = 9, free: int = 1, bits: int = 48) -> Colum
     return F.array(*(F.xxhash64(F.lit(i), *(part[j] for j in pick)) for i, pick in enumerate(combinations(range(bands), free))))
 
 
-def near_pairs(reps: DataFrame, distance: int = DISTANCE, bands: int | None = None, free: int = 2) -> DataFrame:
-    """(a, b, hamming) of representatives of different documents, a < b: exact for the given distance by the pigeonhole principle.
+def free_bands(points: int, distance: int = DISTANCE, bits: int = 48, bucket: int = 64) -> int:
+    """How many bands a key should hold so that buckets of this many hashes stay small: the fewest that leave `bucket` to one, if hashes were even."""
+    return next((f for f in range(1, 5) if points * 2.0 ** (-bits * f / (distance + f)) <= bucket), 5)
+
 
-    Rows of one hash are one point: the distance join runs between distinct hashes, membership is joined afterwards.
+def near_pairs(reps: DataFrame, distance: int = DISTANCE, bands: int | None = None, free: int | None = None, fresh: DataFrame | None = None) -> DataFrame:
+    """(a, b, hamming) of representatives that don't lie in one and the same document, a < b: exact for the given distance by the pigeonhole principle.
+
+    Rows of one hash are one point: the distance join runs between distinct hashes, membership is joined afterwards. Bands and their number in
+    a key follow from the number of hashes where they aren't given. With `fresh` (version_id), only pairs with a version of those are compared.
     """
-    n = bands or distance + free
     # few bytes but many comparisons: a stated number of partitions isn't merged by size
     spark = reps.sparkSession
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     points = reps.select("simhash").distinct().repartition(parts, "simhash")
+    if free is None:
+        free = bands - distance if bands else free_bands(points.count(), distance)
+    n = bands or distance + free
     keyed = points.select("simhash", F.explode(band_keys(F.col("simhash"), n, free)).alias("k")).repartition(parts, "k")
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = a.join(b, F.expr(f"a.k = b.k and a.simhash < b.simhash and bit_count(a.simhash ^ b.simhash) <= {distance}")).select(F.col("a.simhash").alias("x"), F.col("b.simhash").alias("y")).distinct()
+    order = "a.simhash < b.simhash"
+    if fresh is not None:
+        a = keyed.join(reps.join(fresh.select("version_id").distinct(), "version_id", "left_semi").select("simhash").distinct(), "simhash", "left_semi").alias("a")
+        order = "a.simhash <> b.simhash"
+    near = a.join(b, F.expr(f"a.k = b.k and {order} and bit_count(a.simhash ^ b.simhash) <= {distance}")).select(F.least("a.simhash", "b.simhash").alias("x"), F.greatest("a.simhash", "b.simhash").alias("y")).distinct()
     several = reps.groupBy("simhash").agg(F.count("*").alias("n")).where("n > 1").select(F.col("simhash").alias("x"), F.col("simhash").alias("y"))
     m = reps.select("simhash", "version_id", "document_id")
     p = near.unionByName(several).join(m.select(F.col("simhash").alias("x"), F.col("version_id").alias("va"), F.col("document_id").alias("da")), "x").join(m.select(F.col("simhash").alias("y"), F.col("version_id").alias("vb"), F.col("document_id").alias("db")), "y")
-    return p.where("va <> vb and da <> db and (x <> y or va < vb)").select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), hamming(F.col("x"), F.col("y")).cast("int").alias("hamming"))
+    return p.where("va <> vb and (da is null or db is null or da <> db) and (x <> y or va < vb)").select(F.least("va", "vb").alias("a"), F.greatest("va", "vb").alias("b"), hamming(F.col("x"), F.col("y")).cast("int").alias("hamming"))
 
 
 def classify(pairs: DataFrame, reps: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from foliant.functions.segment import WORD, words
+from foliant.functions.segment import DEFAULT, WORD, enable_icu, words
 from foliant.runtime import materialise
 
 # Weights of title, heading and body; BM25 parameters.
@@ -26,19 +26,35 @@ class Index:
 
     postings: DataFrame
     lengths: DataFrame
+    buckets: int = BUCKETS
 
-    def write(self, path: str) -> None:
-        """Postings by bucket of their term, sorted inside, so that a query prunes to its buckets and row groups."""
-        self.postings.repartition("bucket").sortWithinPartitions("term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
-        self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
+    def write(self, path: str, parts: int = 1) -> None:
+        """Postings by bucket of their term, sorted inside, so that a query prunes to its buckets and row groups; a bucket is written in `parts` tasks by entry, so that a frequent term is no single task's."""
+        part = F.pmod(F.xxhash64("id"), F.lit(parts))
+        self.postings.repartition("bucket", part).sortWithinPartitions("bucket", "term", "id").write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/postings")
+        self.lengths.withColumn("buckets", F.lit(self.buckets)).write.mode("overwrite").parquet(f"{path}/lengths")
 
     @staticmethod
     def read(spark: SparkSession, path: str) -> Index:
-        return Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        lengths = spark.read.parquet(f"{path}/lengths")
+        first = lengths.select("buckets").first()
+        return Index(spark.read.parquet(f"{path}/postings"), lengths.drop("buckets"), first[0] if first else BUCKETS)
 
+    def without(self, entries: DataFrame) -> Index:
+        """The index less the entries whose `id` is given; unknown ones change nothing."""
+        gone = entries.select("id").distinct()
+        return Index(self.postings.join(gone, "id", "left_anti").select(*self.postings.columns), self.lengths.join(gone, "id", "left_anti").select(*self.lengths.columns), self.buckets)
 
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    def updated(self, more: Index) -> Index:
+        """The index with the entries of another one of as many buckets, which replace those of the same id."""
+        if more.buckets != self.buckets:
+            raise ValueError(f"{more.buckets} buckets don't fit an index of {self.buckets}")
+        kept = self.without(more.lengths)
+        return Index(kept.postings.unionByName(more.postings), kept.lengths.unionByName(more.lengths), self.buckets)
+
+
+def _bucket(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
 def _tokens(c: Column, profile: str) -> Column:
@@ -47,20 +63,23 @@ def _tokens(c: Column, profile: str) -> Column:
     return w if profile == "simple" else F.flatten(F.transform(w, lambda x: F.regexp_extract_all(x, F.lit(WORD), F.lit(0))))
 
 
-def build_index(entries: DataFrame, key: str, title: str, heading: str, body: str, profile: str = "simple", keep: bool = False) -> Index:
+def build_index(entries: DataFrame, key: str, title: str, heading: str, body: str, profile: str = DEFAULT, keep: bool = False, buckets: int = BUCKETS) -> Index:
     """Index of entries with three text fields; null fields are empty. Repeated keys are taken once.
 
     The postings are a plan: a query pushes its terms below their grouping. `keep` writes the words of all entries to the
     shared folder first, so that several passes over the index part the texts once.
     """
-    t = entries.select(F.col(key).alias("id"), *(_tokens(F.col(c), profile).alias(f) for f, c in zip(WEIGHTS, (title, heading, body)))).dropDuplicates(["id"])
+    if profile == "icu":
+        enable_icu(entries.sparkSession)
+    once = entries.select(F.col(key).alias("id"), *(F.col(c).alias(f) for f, c in zip(WEIGHTS, (title, heading, body)))).dropDuplicates(["id"])
+    t = once.select("id", *(_tokens(F.col(f), profile).alias(f) for f in WEIGHTS))
     if keep:
         t = materialise(t, "words")
     flat = t.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("words")) for f in WEIGHTS))).alias("x")).select("id", "x.field", F.posexplode("x.words").alias("pos", "term"))
     at = lambda f: F.sort_array(F.collect_list(F.when(F.col("field") == f, F.col("pos")))).alias(f)  # noqa: E731 - positions of one term in one entry
-    postings = flat.groupBy("term", "id").agg(*(at(f) for f in WEIGHTS)).withColumn("bucket", _bucket(F.col("term")))
+    postings = flat.groupBy("term", "id").agg(*(at(f) for f in WEIGHTS)).withColumn("bucket", _bucket(F.col("term"), buckets))
     lengths = t.select("id", sum((F.size(f) for f in WEIGHTS), F.lit(0)).alias("tokens"))
-    return Index(postings, lengths)
+    return Index(postings, lengths, buckets)
 
 
 def bm25(index: Index, terms: list[str]) -> DataFrame:
@@ -77,7 +96,7 @@ def bm25(index: Index, terms: list[str]) -> DataFrame:
     if not phrases:
         return index.lengths.select("id", F.lit(0.0).alias("score")).limit(0)
     all_words = sorted({w for p in phrases for w in p})
-    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in all_words], "w string").select(_bucket(F.col("w"))).distinct().collect()]
+    buckets = [r[0] for r in spark.createDataFrame([(w,) for w in all_words], "w string").select(_bucket(F.col("w"), index.buckets)).distinct().collect()]
     hits = index.postings.where(F.col("bucket").isin(buckets) & F.col("term").isin(all_words))
     pick = lambda w, f: F.max(F.when(F.col("term") == w, F.col(f)))  # noqa: E731 - one row for each word of the query
     per = hits.groupBy("id").agg(F.countDistinct("term").alias("n"), *(pick(w, f).alias(f"{f}{i}") for i, w in enumerate(all_words) for f in WEIGHTS)).where(F.col("n") == len(all_words))

@@ -23,7 +23,9 @@ def new_documents(uploads: DataFrame, versions: DataFrame, now: int) -> tuple[Da
     """
     ok = uploads.where("error is null")
     known = versions.where("original_sha256 is not null").groupBy(F.col("original_sha256").alias("sha256")).agg(F.min(F.struct("version_id", "document_id")).alias("have"))
-    x = ok.join(known, "sha256", "left").withColumn("n", F.row_number().over(Window.partitionBy("sha256").orderBy("path")))
+    # keys alone are grouped, not the files' bytes: the smallest path of a hash is the new one
+    first = ok.groupBy("sha256").agg(F.min("path").alias("first_path"))
+    x = ok.select("path", "sha256", "filename", "mime", "bytes").join(first, "sha256").join(known, "sha256", "left").withColumn("n", F.when(F.col("path") == F.col("first_path"), 1).otherwise(2))
     did, vid = F.substring(F.sha2(F.concat(F.lit("d"), F.col("sha256")), 256), 1, 26), F.substring(F.sha2(F.concat(F.lit("v1"), F.col("sha256")), 256), 1, 26)
     fresh = x.where("have is null and n = 1").select(
         vid.alias("version_id"), did.alias("document_id"), F.lit(1).alias("version_no"), F.col("sha256").alias("original_sha256"), F.col("filename").alias("original_filename"), F.col("mime").alias("original_mime"), F.col("bytes").alias("original_bytes"), title_from_filename(F.col("filename")).alias("title"), F.lit(now).alias("created_at")
@@ -42,7 +44,7 @@ def new_versions(uploads: DataFrame, versions: DataFrame, now: int) -> DataFrame
     top = versions.groupBy("document_id").agg(F.coalesce(F.max("version_no"), F.lit(0)).alias("top"))
     x = ok.join(same, ["document_id", "sha256"], "left_anti").join(top, "document_id")
     no = (F.col("top") + F.row_number().over(Window.partitionBy("document_id").orderBy("path"))).cast("int")
-    return x.withColumn("version_no", no).select(F.substring(F.sha2(F.concat_ws("|", "document_id", "sha256"), 256), 1, 26).alias("version_id"), "document_id", "version_no", F.col("sha256").alias("original_sha256"), F.col("filename").alias("original_filename"), F.lit(now).alias("created_at"))
+    return x.withColumn("version_no", no).select(F.substring(F.sha2(F.concat_ws("|", "document_id", "sha256"), 256), 1, 26).alias("version_id"), "document_id", "version_no", F.col("sha256").alias("original_sha256"), F.col("filename").alias("original_filename"), F.col("mime").alias("original_mime"), F.col("bytes").alias("original_bytes"), title_from_filename(F.col("filename")).alias("title"), F.lit(now).alias("created_at"))
 
 
 def with_current(documents: DataFrame, versions: DataFrame, now: int) -> DataFrame:
@@ -53,18 +55,17 @@ def with_current(documents: DataFrame, versions: DataFrame, now: int) -> DataFra
     return x.withColumns({"current_version_id": F.coalesce("newest", "current_version_id"), "status": F.when(moved, "active").otherwise(F.col("status")), "updated_at": F.when(moved, F.lit(now)).otherwise(F.col("updated_at"))}).drop("newest")
 
 
-def replace_partition(df: DataFrame, path: str, by: str) -> None:
+def replace_partition(df: DataFrame, path: str, by: str, buckets: int = 64) -> None:
     """Write rows so that those of the keys present in `by` replace the ones stored for them and nothing else changes.
 
     Partitions are hash buckets of the key, so that a table with many keys has few directories; a touched bucket is
-    rewritten from what it held for other keys and the new rows.
+    rewritten from what it held for other keys and the new rows. The number of buckets belongs to the table; larger ones want more.
     """
     spark: SparkSession = df.sparkSession
-    buckets = 64
     new = df.withColumn("bucket", F.pmod(F.xxhash64(by), F.lit(buckets)).cast("int"))
     jvm = spark._jvm.org.apache.hadoop.fs.Path(path)
     if jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm):
-        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # 64 at most
+        touched = [r[0] for r in new.select("bucket").distinct().collect()]  # as many as buckets at most
         old = spark.read.parquet(path).where(F.col("bucket").isin(touched))
         keep = old.join(new.select(by).distinct(), by, "left_anti").select(*new.columns)
         new = keep.unionByName(new)

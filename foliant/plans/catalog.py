@@ -181,13 +181,13 @@ def quality_gate(spark: SparkSession, d: str) -> DataFrame:
 
 def token_statistics(spark: SparkSession, d: str) -> DataFrame:
     c = reports.once(table(spark, d, "chunks"), "chunk_id")
-    w = words(F.col("text"))
+    w = words(F.col("text"), "simple")
     return c.select("chunk_id", F.size(w).cast("long").alias("n_words"), F.size(F.array_distinct(shingles(w))).cast("long").alias("n_shingles"))
 
 
 def frequent_words(spark: SparkSession, d: str) -> DataFrame:
     """The hundred words that stand in most chunks."""
-    c = reports.once(table(spark, d, "chunks"), "chunk_id").select("chunk_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
+    c = reports.once(table(spark, d, "chunks"), "chunk_id").select("chunk_id", F.explode(F.array_distinct(words(F.col("text"), "simple"))).alias("word"))
     return c.groupBy("word").agg(F.count("*").alias("chunks")).orderBy(F.desc("chunks"), "word").limit(100)
 
 
@@ -221,7 +221,7 @@ def _chunks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 def _keyword(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c, visible = _chunks(spark, d)
-    return fts.bm25(fts.build_index(c, "chunk_id", "title", "heading_path", "text", keep=True), QUERY), visible
+    return fts.bm25(fts.build_index(c, "chunk_id", "title", "heading_path", "text", "simple", keep=True), QUERY), visible
 
 
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
@@ -285,12 +285,12 @@ def exact_classes(spark: SparkSession, d: str) -> DataFrame:
 
 def simhash_values(spark: SparkSession, d: str) -> DataFrame:
     c = spread(_current(spark, d))
-    return c.select("version_id", simhash48(shingles(words(F.col("markdown")))).alias("simhash"))
+    return c.select("version_id", simhash48(shingles(words(F.col("markdown"), "simple"))).alias("simhash"))
 
 
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Kind and score for all pairs of different contents whose hashes are near."""
-    reps = materialise(dedupe.representatives(_current(spark, d)), "contents")
+    reps = materialise(dedupe.representatives(_current(spark, d), "simple"), "contents")
     x = dedupe.classify(dedupe.near_pairs(reps), reps)
     return x.select("a", "b", "kind", F.round("score", 6).alias("score"), "hamming")
 
@@ -299,12 +299,12 @@ def contradiction_candidates(spark: SparkSession, d: str) -> DataFrame:
     """The sixty pairs of passages with figures or rules, of different documents that aren't archived, that are most alike without being the same."""
     c, visible = _chunks(spark, d)
     c = c.where(contradiction.has_signal(F.col("text"))).select(F.col("chunk_id").alias("id"), "text").join(visible, "id")
-    return contradiction.candidates(c).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    return contradiction.candidates(c, profile="simple").select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 def relation_likeness(spark: SparkSession, d: str) -> DataFrame:
     """Likeness and containment of the two texts of every stored relation between known versions."""
-    v = reports.once(table(spark, d, "document_versions"), "version_id").where("markdown is not null").select("version_id", F.array_distinct(shingles(words(F.col("markdown")))).alias("s"))
+    v = reports.once(table(spark, d, "document_versions"), "version_id").where("markdown is not null").select("version_id", F.array_distinct(shingles(words(F.col("markdown"), "simple"))).alias("s"))
     r = reports.once(table(spark, d, "document_relations"), "relation_id").select("relation_id", "a_version_id", "b_version_id")
     x = r.join(v.select(F.col("version_id").alias("a_version_id"), F.col("s").alias("sa")), "a_version_id").join(v.select(F.col("version_id").alias("b_version_id"), F.col("s").alias("sb")), "b_version_id")
     return x.select("relation_id", F.round(jaccard(F.col("sa"), F.col("sb")), 6).alias("jaccard"), F.round(containment(F.col("sa"), F.col("sb")), 6).alias("containment"))

@@ -87,14 +87,16 @@ def superseded_documents(versions: DataFrame, relations: DataFrame) -> DataFrame
 
 
 def with_freshness(docs: DataFrame, versions: DataFrame, people: DataFrame, relations: DataFrame, now: int) -> DataFrame:
-    """Freshness of every document that isn't archived and has a current version."""
+    """Freshness of every document that isn't archived and has a current version; a stated review date goes before the one that follows from interval, last review and effect."""
     v = once(versions, "version_id").select("version_id", F.col("created_at").alias("version_created_at"), "conversion_confidence")
     s = superseded_documents(versions, relations).withColumn("superseded", F.lit(True))
     p = people.select(F.col("person_id").alias("owner_person_id"), F.col("display_name").alias("owner_name"))
     d = docs.where("status <> 'archived'")
     x = d.join(v, d.current_version_id == v.version_id).join(s, "document_id", "left").join(p, "owner_person_id", "left")
-    none, at = F.lit(None).cast("long"), F.lit(now)
-    x = x.withColumn("review_due_at", fr.review_due(F.col("doc_type"), none, none, none, F.col("version_created_at")))
+    at = F.lit(now)
+    own = lambda c: F.col(c).cast("long") if c in docs.columns else F.lit(None).cast("long")
+    due = fr.review_due(F.col("doc_type"), own("review_interval_days"), own("last_reviewed_at"), own("effective_date"), F.col("version_created_at"))
+    x = x.withColumn("review_due_at", F.coalesce(own("review_due_at"), due))
     overdue = F.coalesce(at > F.col("review_due_at"), F.lit(False))
     x = x.withColumns({"overdue_days": F.when(overdue, fr.days_between(F.col("review_due_at"), at)), "age_days": fr.days_between(F.col("version_created_at"), at)})
     score = fr.freshness(F.col("doc_type"), F.col("age_days"), F.col("overdue_days"), F.col("owner_person_id").isNotNull(), F.coalesce("superseded", F.lit(False)), F.coalesce(F.col("conversion_confidence") < LOW, F.lit(False)))

@@ -75,4 +75,5 @@ class RuleJudge(TextProvider):
         a, _, b = prompt.partition("\n---\n")
         x, y = re.findall(r"\d+", a), re.findall(r"\d+", b)
         kind = "numeric" if x and y and x != y else "none"
-        return json.dumps({"kind": kind, "severity": "medium" if kind != "none" else "low", "confidence": 0.8 if kind != "none" else 0.2, "summary": f"{x[:3]} / {y[:3]}"})
+        hit = kind != "none"
+        return json.dumps({"hasContradiction": hit, "kind": kind, "severity": "medium" if hit else "low", "claimA": a[:200], "claimB": b[:200], "explanation": f"{x[:3]} / {y[:3]}", "confidence": 0.8 if hit else 0.2})

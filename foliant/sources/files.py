@@ -195,7 +195,17 @@ def docx_markdown(content: bytes) -> tuple[str, list[str]]:
         return md, raw
 
     blocks, texts = [], []
-    for e in body if body is not None else ():
+
+    def flat(e: ElementTree.Element) -> Iterator[ElementTree.Element]:
+        """Paragraphs and tables, those in content controls included."""
+        for x in e:
+            if x.tag == f"{_W}sdt":
+                inner = x.find(f"{_W}sdtContent")
+                yield from flat(inner) if inner is not None else ()
+            else:
+                yield x
+
+    for e in flat(body) if body is not None else ():
         if e.tag == f"{_W}p":
             md, raw = inline(e)
             style = e.find(f"{_W}pPr/{_W}pStyle")
@@ -210,7 +220,7 @@ def docx_markdown(content: bytes) -> tuple[str, list[str]]:
                 else:
                     blocks.append(line)
         elif e.tag == f"{_W}tbl":
-            rows = [["<br>".join(filter(None, (inline(p)[0].strip() for p in c.iter(f"{_W}p")))) for c in r.iter(f"{_W}tc")] for r in e.iter(f"{_W}tr")]
+            rows = [["<br>".join(filter(None, (inline(p)[0].strip() for p in c.iter(f"{_W}p")))) for c in r.findall(f"{_W}tc")] for r in e.findall(f"{_W}tr")]
             texts += [" ".join(r) for r in rows]
             if rows:
                 blocks.append(table_markdown(rows))
@@ -290,11 +300,32 @@ def pdf_pages(content: bytes) -> list[str]:
         except zlib.error:
             return b""
 
+    for n in [n for n, o in objects.items() if re.search(rb"/Type\s*/ObjStm\b", o)]:  # objects packed into streams
+        raw, head = stream(n), objects[n].split(b"stream")[0]
+        count, first = (int(m[1]) if (m := re.search(rb"/" + k + rb"\s+(\d+)", head)) else 0 for k in (b"N", b"First"))
+        numbers = [int(x) for x in raw[:first].split()[: 2 * count]]
+        for k in range(0, len(numbers) - 1, 2):
+            end = numbers[k + 3] if k + 3 < len(numbers) else len(raw) - first
+            objects.setdefault(numbers[k], raw[first + numbers[k + 1] : first + end])
+
+    def kids(n: int, seen: set[int]) -> Iterator[int]:
+        """Pages below a node of the page tree, in reading order."""
+        if n in seen or n not in objects:
+            return
+        seen.add(n)
+        m = re.search(rb"/Kids\s*\[([^\]]*)\]", objects[n])
+        if m:
+            for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1]):
+                yield from kids(int(x), seen)
+        else:
+            yield n
+
+    is_page = {n for n, o in objects.items() if re.search(rb"/Type\s*/Page\b", o)}
+    roots = [int(m[1]) for o in objects.values() if re.search(rb"/Type\s*/Catalog\b", o) and (m := re.search(rb"/Pages\s+(\d+)\s+\d+\s+R", o))]
+    order = [n for n in kids(roots[-1], set()) if n in is_page] if roots else []
     pages = []
-    for n in sorted(objects):
+    for n in order or sorted(is_page):
         o = objects[n]
-        if not re.search(rb"/Type\s*/Page\b", o):
-            continue
         m = re.search(rb"/Contents\s*(\[[^\]]*\]|\d+\s+\d+\s+R)", o)
         data = b"\n".join(stream(int(x)) for x in re.findall(rb"(\d+)\s+\d+\s+R", m[1])) if m else b""
         text = ""

@@ -28,6 +28,8 @@ def run_jobs(spark: SparkSession, queue: str, results: str, checkpoint: str, han
         from foliant.runtime import materialise
 
         todo = materialise(jobs.where("status = 'queued'").dropDuplicates(["id"]), "jobs")
+        # claimed: whoever reads the results meanwhile sees the jobs running; the outcome replaces this
+        todo.select("id", "kind", F.lit("running").alias("status"), F.lit(1).alias("attempts"), F.lit(None).cast("string").alias("error")).write.mode("overwrite").parquet(f"{results}/batch={number}")
         done = [todo.where(~F.col("kind").isin(*handlers)).select("id", "kind", F.lit("failed").alias("status"), F.lit(1).alias("attempts"), F.concat(F.lit("unknown kind: "), "kind").alias("error"))]
         for kind, handler in handlers.items():
             open_jobs = todo.where(F.col("kind") == kind)

@@ -341,3 +341,61 @@ def test_materialised_stages_are_released(spark):
     assert df.count() == 3 and runtime.release(spark) >= 1
     j = spark.createDataFrame([("1", "a", "queued", 1), ("2", "b", "done", 2)], "id string, kind string, status string, created_at long")
     assert any_recent(j, "a") and not any_recent(j, "b") and not any_recent(j.where("false"), "a") and not any_recent(j, "a", among=1)
+
+
+def test_review_changes_and_events(spark):
+    from foliant.functions.freshness import DAY
+    from foliant.operators import review
+    from foliant.schemas import evolve
+
+    docs = evolve(spark.createDataFrame([("a", "t", "manual", "P1", "active", 1, 5), ("b", "t", None, None, "active", 1, 5), ("c", "t", None, None, "active", 1, 5)], "document_id string, title string, doc_type string, owner_person_id string, status string, created_at long, review_due_at long"), "managed_documents")
+    people = spark.createDataFrame([("P1", "Ann", None)], "person_id string, display_name string, department string")
+    changes = [("a", "reviewed", None, 10), ("a", "extended", "3", 20), ("a", "owner_assigned", " Bo ", 11), ("b", "extended", "9", 10), ("b", "reviewed", "fine", 30), ("b", "archived", None, 31), ("b", "type_set", "report", 7), ("b", "effective_set", "77", 8), ("x", "reviewed", None, 1), ("a", "other", None, 1), (None, "reviewed", None, 1)]
+    out, everybody, events = review.apply(docs, people, spark.createDataFrame(changes, "document_id string, action string, value string, at long"))
+    got = {r["document_id"]: r for r in out.collect()}
+    bo = {r["display_name"]: r["person_id"] for r in everybody.collect()}["Bo"]
+    assert (got["a"]["last_reviewed_at"], got["a"]["review_due_at"], got["a"]["owner_person_id"], got["a"]["updated_at"]) == (10, 20 + 3 * DAY, bo, 20)
+    assert (got["b"]["last_reviewed_at"], got["b"]["review_due_at"], got["b"]["doc_type"], got["b"]["effective_date"], got["b"]["status"]) == (30, None, "report", 77, "archived")
+    assert (got["c"]["review_due_at"], got["c"]["status"], got["c"]["updated_at"]) == (5, "active", None)
+    assert sorted((r["document_id"], r["action"]) for r in events.collect()) == [("a", "extended"), ("a", "owner_assigned"), ("a", "reviewed"), ("b", "archived"), ("b", "extended"), ("b", "reviewed")]
+    assert review.lookup(out, "document_id", "a").count() == 1 and review.lookup(out, "document_id", "q").count() == 0
+    f = spark.createDataFrame([("1", "open", None)], "id string, status string, resolved_at long")
+    assert tuple(review.resolve_findings(f, ["1"], "resolved", 4).first()) == ("1", "resolved", 4)
+    assert tuple(review.resolve_findings(review.resolve_findings(f, ["1"], "resolved", 4), ["1"], "open", 5).first()) == ("1", "open", None)
+    with pytest.raises(ValueError):
+        review.resolve_findings(f, [], "gone", 1)
+
+
+def test_contradiction_scan_saves_findings_once(spark):
+    text = "alpha beta gamma delta epsilon zeta eta theta %s円"
+    rows_ = [(1, "d1", "v1", "H > I", 3, text % "100"), (2, "d2", "v2", None, None, text % "200"), (3, "d3", "v3", "x", 1, text % "100"), (4, "gone", "v4", "x", 1, text % "300")]
+    chunks = spark.createDataFrame(rows_, "id long, document_id string, version_id string, heading_path string, page_from int, text string")
+    docs = spark.createDataFrame([("d1", "One", "active"), ("d2", "Two", "active"), ("d3", "Three", "active"), ("gone", "G", "archived")], "document_id string, title string, status string")
+    memo = spark.createDataFrame([], "a_chunk_id long, b_chunk_id long, verdict string, checked_at long")
+    found, memo2, counts = contradiction.scan(chunks, docs, memo, RuleJudge(), 7)
+    assert tuple(counts.first()) == (1, 1, 1) and rows(memo2) == [(1, 2, "contradiction", 7)]
+    f = found.first()
+    assert f["title"] == "One / Two" and f["document_ids"] == ["d1", "d2"] and f["citations"][0]["page"] == 3 and f["citations"][0]["heading_path"] == "H > I" and f["status"] == "open" and "claimA" in f["detail"]
+    again, memo3, counts = contradiction.scan(chunks, docs, memo2, RuleJudge(), 8)
+    assert again.count() == 0 and tuple(counts.first()) == (0, 0, 0) and rows(memo3) == rows(memo2)
+
+
+def test_index_removal_update_and_japanese(spark, tmp_path):
+    df = spark.createDataFrame([(1, "残業申請の手引き", None, "残業申請は上長に提出する。"), (2, None, "規程", "休暇の申請書を提出"), (3, "plain", None, "overtime request")], "id long, t string, h string, b string")
+    ix = fts.build_index(df, "id", "t", "h", "b")
+    ids = lambda i, *terms: sorted(r["id"] for r in fts.bm25(i, list(terms)).collect())
+    assert ids(ix, "残業") == [1] and 1 in ids(ix, "申請") and ids(ix, "休暇") == [2] and ids(ix, "overtime") == [3]
+    ix.write(str(tmp_path / "ix"), parts=2)
+    kept = fts.Index.read(spark, str(tmp_path / "ix"))
+    less = kept.without(spark.createDataFrame([(1,), (9,)], "id long"))
+    assert ids(less, "残業") == [] and less.lengths.count() == 2
+    more = kept.updated(fts.build_index(spark.createDataFrame([(3, "残業", None, ""), (4, "残業", None, "")], "id long, t string, h string, b string"), "id", "t", "h", "b"))
+    assert ids(more, "残業") == [1, 3, 4] and ids(more, "overtime") == []
+
+
+def test_near_pairs_of_a_content_in_several_documents(spark):
+    cur = spark.createDataFrame([("v1", "d1", "x", 1), ("v2", "d1", "y", 2), ("v3", "d2", "x", 3)], "version_id string, document_id string, markdown string, created_at long")
+    reps = dedupe.representatives(cur).withColumn("simhash", F.lit(5).cast("long"))
+    assert rows(dedupe.near_pairs(reps)) == [("v1", "v2", 0)]
+    assert rows(dedupe.contents(cur).select("version_id", "content_id")) == [("v1", "v1"), ("v2", "v2"), ("v3", "v1")]
+    assert dedupe.free_bands(100) == 1 and dedupe.free_bands(10_000_000) > 2

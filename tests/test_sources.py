@@ -1,9 +1,14 @@
 import io
+import os
+import shutil
 import zipfile
 import zlib
 
+from pyspark.sql import functions as F
+
 from foliant import schemas
 from foliant.providers import HashingEmbedder, VisionProvider
+from foliant.runtime import materialise
 from foliant.sources import files
 from foliant.sources.connectors import FolderConnector
 from foliant.streaming import jobs
@@ -90,6 +95,26 @@ def test_folder_connector(tmp_path):
     pages = list(c.changes(str(tmp_path), None))
     assert [i.name for p in pages for i in p.items] == ["a"] and c.fetch(pages[0].items[0]) == b"1"
     assert list(c.changes(str(tmp_path), pages[-1].cursor)) == []
+    (tmp_path / "b").write_text("2")
+    os.utime(tmp_path / "b", ns=(pages[0].items[0].modified_at,) * 2)  # same time as the last one seen
+    assert [i.name for p in c.changes(str(tmp_path), pages[-1].cursor) for i in p.items] == ["b"]
+    (tmp_path / "a").unlink()
+    gone = next(FolderConnector([pages[0].items[0].external_id]).changes(str(tmp_path), pages[-1].cursor)).items
+    assert [(i.name, i.deleted) for i in gone] == [("a", True)]
+
+
+def test_pdf_pages_follow_the_page_tree():
+    page = lambda n, c: b"%d 0 obj << /Type /Page /Parent 2 0 R /Contents %d 0 R >> endobj\n%d 0 obj << /Length 20 >> stream\nBT (%s) Tj ET\nendstream endobj\n" % (n, n + 1, n + 1, c)
+    tree = b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj\n2 0 obj << /Type /Pages /Kids [6 0 R 8 0 R] >> endobj\n8 0 obj << /Type /Pages /Kids [3 0 R] >> endobj\n"
+    assert files.pdf_pages(b"%PDF\n" + tree + page(3, b"second") + page(6, b"first")) == ["first", "second"]
+    inner = [(1, b"<< /Type /Catalog /Pages 2 0 R >>"), (2, b"<< /Type /Pages /Kids [6 0 R 3 0 R] >>")]
+    at, head, body = 0, b"", b""
+    for n, o in inner:
+        head += b"%d %d " % (n, len(body))
+        body += o + b" "
+    packed = zlib.compress(head + body)
+    stream = b"9 0 obj << /Type /ObjStm /N 2 /First %d /Filter /FlateDecode >> stream\n" % len(head) + packed + b"\nendstream endobj\n"
+    assert files.pdf_pages(b"%PDF\n" + stream + page(3, b"second") + page(6, b"first")) == ["first", "second"]
 
 
 def test_schemas(spark):
@@ -142,8 +167,25 @@ def test_landing_folder_to_archive(spark, tmp_path):
     (land / "late.docx").write_bytes(docx() + b" ")
     run()
     assert spark.read.parquet(f"{arc}/versions").count() == 4
-    rel = spark.read.parquet(f"{arc}/relations").collect()
+    rel = stream.relations(spark, arc).collect()
     assert [(r["kind"], r["status"]) for r in rel] == [("exact_dup", "open")]
     n = spark.read.parquet(f"{arc}/chunks").count()
     stream.ingest_batch(files.read_uploads(spark, str(land)), arc, 8)
     assert spark.read.parquet(f"{arc}/versions").count() == 4 and spark.read.parquet(f"{arc}/chunks").count() == n
+    # the next version of a document
+    d = got["b.xlsx"]["document_id"]
+    up = files.check_uploads(spark.createDataFrame([("/x/b2.docx", docx() + b"  ")], "path string, content binary")).withColumn("document_id", F.lit(d))
+    stream.ingest_batch(up, arc, 9)
+    v2 = spark.read.parquet(f"{arc}/versions").where(F.col("document_id") == d).orderBy("version_no").collect()
+    assert [r["version_no"] for r in v2] == [1, 2] and v2[1]["title"] == "b2"
+    doc = {r["document_id"]: r for r in stream.documents(spark, arc).collect()}
+    assert len(doc) == 4 and doc[d]["current_version_id"] == v2[1]["version_id"] and doc[d]["updated_at"] == 9 and all(x["current_version_id"] for x in doc.values())
+    assert any("document_id: " in r["file"] for r in spark.read.parquet(f"{arc}/markdown").collect())
+    # a batch that broke off before its versions were written is done again, and statuses stay
+    before = stream.relations(spark, arc)
+    count = before.count()
+    stream.publish(materialise(before.withColumn("status", F.lit("confirmed"))), f"{arc}/relations")
+    shutil.rmtree(next(p for p in (tmp_path / "arc" / "versions").iterdir() if v2[1]["version_id"] in str(spark.read.parquet(str(p)).select("version_id").collect())))
+    stream.ingest_batch(up, arc, 9)
+    again = stream.relations(spark, arc).collect()
+    assert spark.read.parquet(f"{arc}/versions").count() == 5 and len(again) == count and {r["status"] for r in again} == {"confirmed"}
