@@ -27,38 +27,43 @@ def _order(v: str, seed: int) -> Column:
 
 
 def _first_neighbour(e: DataFrame, seed: int) -> DataFrame:
-    """(x, r): for every vertex the first of its closed neighbourhood. `min` combines map-side, so a hub costs one row per task."""
+    """(x, r, n): for every vertex the first of its closed neighbourhood, and its number of neighbours. `min` combines map-side, so a hub costs one row per task."""
     ends = e.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y")), F.struct(F.col("v").alias("x"), F.col("u").alias("y"))))).select("col.x", "col.y")
-    best = ends.groupBy("x").agg(F.min(_order("y", seed)).alias("m"))
-    return best.select("x", F.least(_order("x", seed), F.col("m"))["id"].alias("r"))
+    best = ends.groupBy("x").agg(F.min(_order("y", seed)).alias("m"), F.count("*").alias("n"))
+    return best.select("x", F.least(_order("x", seed), F.col("m"))["id"].alias("r"), "n")
 
 
-def _relabel(e: DataFrame, m: DataFrame, salts: int) -> DataFrame:
-    """Edges between the representatives. Hub edges spread over `salts` join keys; the mapping is copied once per salt."""
-    ms = m.withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))) if salts > 1 else m.withColumn("s", F.lit(0))
-    a = e.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int")).join(ms.withColumnRenamed("x", "u"), ["u", "s"]).select(F.col("r").alias("u"), "v")
+def _relabel(e: DataFrame, m: DataFrame, hubs: list[str], salts: int) -> DataFrame:
+    """Edges between the representatives. The edges of a hub spread over `salts` join keys, and only its mapping is copied once per salt."""
+    is_hub = lambda c: F.col(c).isin(hubs) if hubs else F.lit(False)
+    ms = m.select("x", "r", F.explode(F.when(is_hub("x"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))).alias("s"))
+    part = lambda hub, other: F.when(is_hub(hub), F.pmod(F.xxhash64(other), F.lit(salts)).cast("int")).otherwise(0)
+    a = e.withColumn("s", part("u", "v")).join(ms.withColumnRenamed("x", "u"), ["u", "s"]).select(F.col("r").alias("u"), "v")
     a = a.distinct()
-    b = a.withColumn("s", F.pmod(F.xxhash64("u"), F.lit(salts)).cast("int")).join(ms.withColumnRenamed("x", "v"), ["v", "s"]).select("u", F.col("r").alias("v"))
+    b = a.withColumn("s", part("v", "u")).join(ms.withColumnRenamed("x", "v"), ["v", "s"]).select("u", F.col("r").alias("v"))
     return b.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def connected_groups(pairs: DataFrame, a: str, b: str, salts: int = 8) -> DataFrame:
+def connected_groups(pairs: DataFrame, a: str, b: str, salts: int = 64, hub: int = 100_000) -> DataFrame:
     """(member string, group_id string): every vertex of an edge with the smallest vertex of its component.
 
     Rows with a null end and loops link nothing and are left out; repeated rows and either direction count
-    once; extra columns are ignored. An empty input gives an empty result. Nothing is collected: the loop
-    only asks whether an edge is left. Every round is written to the shared folder, so a lost executor costs
-    a read of files. `salts` spreads the edges of one vertex over that many join keys.
+    once; extra columns are ignored. An empty input gives an empty result. The loop asks how many edges are left and which vertices
+    are hubs: those with more than `hub` neighbours and more than a thousandth of all ends, so a thousand at most. Their edges are spread over
+    `salts` join keys. Every round is written to the shared folder, so a lost executor costs a read of files.
     """
     e = materialise(_edges(pairs, a, b), "edges")
     maps: list[DataFrame] = []
     for seed in range(MAX_ROUNDS):
-        if e.isEmpty():
+        left = e.count()
+        if not left:
             break
         m = materialise(_first_neighbour(e, seed), "map")
-        nxt = materialise(_relabel(e, m, salts), "edges")
+        hubs = [r["x"] for r in m.where(F.col("n") > max(hub, 2 * left // 1_000)).select("x").collect()] if left > hub else []
+        nxt = materialise(_relabel(e, m, hubs, salts), "edges")
         discard(e)
-        maps.append(m)
+        maps.append(m.select("x", "r"))
+        maps[-1]._foliant_path = m._foliant_path
         e = nxt
     else:
         raise RuntimeError("contraction did not end; is the input changing between reads?")

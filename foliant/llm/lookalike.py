@@ -8,12 +8,17 @@ canonical text, which is joined back to all of its rows.
 
 from __future__ import annotations
 
+import os
+import struct
 import sys
 import unicodedata
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyspark
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.runtime import discard, materialise, spread
@@ -31,7 +36,32 @@ HYPHENS = "‐ ‑ ‒ – − ⁃ ﹣ － ˗ ۔ ➖ ⁻ ₋"
 BLANKS = "⠀ ㅤ ﾠ"
 
 
-def _table() -> dict[int, str | None]:
+def published() -> dict[str, str]:
+    """Look-alike letters by the confusables data of Unicode, as the ICU library among Spark's jars holds them: (drawn like, representative).
+
+    Taken are pairs of single letters that agree in case, where the first has one, and carry no accent or voicing mark of their own, as those differences count here; letters of ASCII stand for themselves.
+    Without the library at hand, the table above stands alone.
+    """
+    home = Path(os.environ.get("SPARK_HOME") or Path(pyspark.__file__).parent)
+    jar = next(iter(sorted((home / "jars").glob("icu4j-*.jar"))), None)
+    if jar is None:
+        return {}
+    with zipfile.ZipFile(jar) as z:
+        raw = z.read("com/ibm/icu/impl/data/icudata/confusables.cfu")
+    body = raw[struct.unpack(">H", raw[:2])[0] :]  # big-endian: keys of 24 bits with a length above, and values of 16 bits, which are characters or places in a pool
+    _, _, _, keys, n, values, m, _, _ = struct.unpack(">9i", body[:36])
+    out = {}
+    for k, v in zip(struct.unpack(f">{n}i", body[keys : keys + 4 * n]), struct.unpack(f">{m}H", body[values : values + 2 * m])):
+        a, b = chr(k & 0xFFFFFF), chr(v)
+        if k >> 24 or a.isascii() or not (a.isalpha() and b.isalpha()) or unicodedata.category(a)[0] != "L":
+            continue
+        if any(len(unicodedata.normalize("NFD", c)) > 1 for c in (a, b)) or (a.isupper() or a.islower()) and (a.isupper(), a.islower()) != (b.isupper(), b.islower()):
+            continue
+        out[a] = b
+    return out
+
+
+def _table(extra: dict[str, str]) -> dict[int, str | None]:
     """Replacement for each code point after compatibility folding: look-alikes, hyphens, spaces; invisible characters vanish."""
     table: dict[int, str | None] = {}
     for o in range(sys.maxunicode + 1):
@@ -42,7 +72,12 @@ def _table() -> dict[int, str | None]:
         elif cat == "Cf" or (cat == "Cc" and ch not in "\t\n\r\x0b\x0c\x85") or 0xFE00 <= o <= 0xFE0F or 0xE0100 <= o <= 0xE01EF or o in (0x034F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180B, 0x180C, 0x180D):
             table[o] = None
     words = LOOKALIKES.split()
-    table.update({ord(a): b for a, b in zip(words[::2], words[1::2])})
+    pairs = dict(zip(words[::2], words[1::2]))
+    for a, b in extra.items():
+        b = pairs.get(b, b)
+        if a not in pairs and a not in pairs.values() and a != b:
+            pairs[a] = b
+    table.update({ord(a): b for a, b in pairs.items()})
     table.update({ord(h): "-" for h in HYPHENS.split()})
     table.update({ord(b): " " for b in BLANKS.split()})
     return table
@@ -60,10 +95,10 @@ class Mapper:
     letter: np.ndarray
 
     @classmethod
-    def load(cls) -> None:
+    def load(cls, extra: dict[str, str] | None = None) -> None:
         if cls._table is not None:
             return
-        cls._table = _table()
+        cls._table = _table(published() if extra is None else extra)
         n = sys.maxunicode + 1
         cls.one, cls.slow, cls.letter = np.arange(n, dtype=np.uint32), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
         for o in range(n):
@@ -129,7 +164,10 @@ def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def comparison_values(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, stored, coarse, value) of the rows that have a text: the stored text's hash, a hash of its letters and digits, its comparison value."""
 
+    extra = published()  # read once, so that all tasks map alike
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        Mapper.load(extra)
         for b in batches:
             for a in range(0, len(b), 2_000):
                 part = b.slice(a, 2_000)

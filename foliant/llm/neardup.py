@@ -2,9 +2,10 @@
 
 A text (lower case, letters and digits only) is a set of runs of five characters. 96 minimum hashes of that set make its
 fingerprint; groups of four give 23-bit segments, six bits from each. At a likeness of 0.6 the errors of a pair are spread over
-the segments, and by the pigeonhole principle some segment has few: a segment is decoded to the codewords of
-the Golay code nearby, whose messages are its keys. A key joins with two whole minimum hashes from elsewhere in the
-fingerprint, which keeps the buckets small in a large collection. Pairs in a bucket pass a 64-bit sketch and are then verified on
+the segments, and some segment has few: a segment is decoded to the codewords of the Golay code nearby, whose messages are its keys. Two words that
+differ in two bits or less always share one. A message alone has 12 bits, far too few for a large collection, so a key
+joins it with two whole minimum hashes from elsewhere in the fingerprint; with that the pigeonhole bound holds for the segment only, and a pair is found with a
+probability that depends on its likeness (measured: `recall_by_likeness` in the tests). Pairs in a bucket pass a 64-bit sketch and are then verified on
 the texts.
 """
 
@@ -19,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from foliant.llm import golay
+from foliant.llm.hot import group_pairs
 from foliant.runtime import materialise, spread
 
 RUN, LEAST_CHARS, ALIKE = 5, 200, 0.6
@@ -187,10 +189,10 @@ def similar_pairs(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:
     """(a, b), a < b: all pairs of rows of different owners whose texts are alike, members of one class included."""
     members, links = similar_classes(df, key, owner, text, cross_owner=True)
     members = materialise(members, "members")
-    several = members.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("a"), F.col("c").alias("b"))
+    equal = group_pairs(members, "c", "key", "a.key < b.key and not (a.owner <=> b.owner)").select(F.col("a.key").alias("a"), F.col("b.key").alias("b"))
     x, y = members.select(F.col("key").alias("x"), F.col("owner").alias("ox"), F.col("c").alias("a")), members.select(F.col("key").alias("y"), F.col("owner").alias("oy"), F.col("c").alias("b"))
-    rows = links.select("a", "b").unionByName(several).join(x, "a").join(y, "b").where(F.expr("not (ox <=> oy) and x <> y"))
-    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = links.select("a", "b").join(x, "a").join(y, "b").where(F.expr("not (ox <=> oy) and x <> y"))
+    return rows.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).unionByName(equal).distinct()
 
 
 def classes_with_links(df: DataFrame, key: str, owner: str, text: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from foliant.llm import components, langid, leaks, lookalike, neardup, neighbours, ocr, packing, splitting
+from foliant.llm.hot import group_pairs
 from foliant.runtime import materialise, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,8 +32,8 @@ def p1_classes(spark: SparkSession, d: str) -> DataFrame:
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of chunks stored differently that look the same."""
     m = materialise(lookalike.lookalike_members(table(spark, d, "chunks"), "chunk_id", "text").distinct(), "lookalike")
-    a, b = m.alias("a"), m.alias("b")
-    return a.join(b, F.expr("a.class_id = b.class_id and a.stored <> b.stored and a.key < b.key")).select(F.col("a.key").alias("a_chunk_id"), F.col("b.key").alias("b_chunk_id")).distinct()
+    pairs = group_pairs(m, "class_id", "key", "a.stored <> b.stored and a.key < b.key")
+    return pairs.select(F.col("a.key").alias("a_chunk_id"), F.col("b.key").alias("b_chunk_id")).distinct()
 
 
 def p2_canonical(spark: SparkSession, d: str) -> DataFrame:

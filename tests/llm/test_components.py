@@ -29,7 +29,7 @@ def test_groups_equal_union_find(spark, salts):
     pairs = [(f"c{i}", f"c{i + 1}") for i in range(40)] + [("hub", f"s{i}") for i in range(60)] + [(f"r{r.randint(0, 80)}", f"r{r.randint(0, 80)}") for _ in range(50)]
     pairs += [(None, "a"), ("a", None), ("z", "z"), ("c1", "c0"), ("c0", "c1")]
     df = spark.createDataFrame([(a, b, "x") for a, b in pairs], "a string, b string, member string")
-    got = {x["member"]: x["group_id"] for x in components.connected_groups(df, "a", "b", salts).collect()}
+    got = {x["member"]: x["group_id"] for x in components.connected_groups(df, "a", "b", salts, hub=3).collect()}
     assert got == union_find(pairs)
 
 

@@ -17,6 +17,8 @@ SAME = [
     ("日本", "⽇本"),
     ("二", "ニ"),
     ("soft", "so­ft"),
+    ("AAo", "Ꭺꓮσ"),
+    ("oivG", "ⲟɩѵԌ"),
 ]
 DIFFERENT = [("abc", "ABC"), ("resume", "résumé"), ("か", "が"), ("1", "2"), ("a.b", "a,b"), ("ab", "a b"), ("a\nb", "a b"), ("a\n\nb", "a\nb"), ("", "a"), ("は", "ぱ")]
 

@@ -80,3 +80,39 @@ def test_nothing_to_compare(spark):
 @pytest.mark.parametrize("text", ["", "ABC abc", "İstanbul ΣΑΣ", "漢字、かな。𠮷", "a\ud800b"])
 def test_bare_text_like_python(text):
     assert neardup.bare_texts([text, "x"]) == [bare(text), "x"]
+
+
+def recall_by_likeness(pairs=400, seed=9):
+    """Share of pairs of two texts that share a key and pass the sketch, by likeness to one decimal and a half."""
+    import random
+    import string
+
+    import numpy as np
+
+    from foliant.llm import neardup
+
+    r, hit, seen = random.Random(seed), {}, {}
+    for level in (0.86, 0.82, 0.78, 0.74):  # share of the text that stays
+        texts = []
+        for _ in range(pairs):
+            a = "".join(r.choices(string.ascii_lowercase, k=900))
+            k = int(len(a) * level)
+            texts += [a, a[:k] + "".join(r.choices(string.ascii_lowercase, k=900 - k))]
+        sketch, keys = neardup.fingerprints(texts)
+        for i in range(0, len(texts), 2):
+            runs = [{t[j : j + neardup.RUN] for j in range(len(t) - neardup.RUN + 1)} for t in texts[i : i + 2]]
+            like = len(runs[0] & runs[1]) / len(runs[0] | runs[1])
+            if like < neardup.ALIKE:
+                continue
+            step = round(like * 20) / 20
+            shared = np.intersect1d(keys[i][keys[i] != 0], keys[i + 1][keys[i + 1] != 0])
+            ok = len(shared) and bin((int(sketch[i]) ^ int(sketch[i + 1])) & (1 << 64) - 1).count("1") <= neardup.SKETCH_ERRORS
+            seen[step] = seen.get(step, 0) + 1
+            hit[step] = hit.get(step, 0) + bool(ok)
+    return {s: hit[s] / seen[s] for s in sorted(seen)}, seen
+
+
+def test_recall_by_likeness():
+    share, seen = recall_by_likeness()
+    print(share, seen)
+    assert all(v >= (0.95 if s < 0.66 else 0.985) for s, v in share.items() if seen[s] >= 50), share
