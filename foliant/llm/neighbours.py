@@ -180,21 +180,26 @@ def choose_plan(apart: np.ndarray, n: int, wanted: float) -> tuple[int, int]:
     return best[1], best[2]
 
 
-def _windows(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, window: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+def _windows(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, window: int, k: int, least: float, digits: int | None) -> Iterator[pa.RecordBatch]:
     """(head, nb, far): the k best of each own row within the window around it; rows are in the order of the curve."""
     exact = _unit(raw)
-    unit = exact.astype(np.float32)
     for at in range(0, len(ids), BLOCK):
         rows = np.arange(at, min(at + BLOCK, len(ids)))
         rows = rows[own[rows]]
         if not len(rows):
             continue
         lo, hi = max(0, at - window), min(len(ids), at + BLOCK + window)
-        s = unit[rows] @ unit[lo:hi].T
-        s[np.arange(len(rows)), rows - lo] = -2.0
+        # products in single precision around the middle of the block, so that they tell apart what lies close together
+        middle = exact[rows].mean(0)
+        side = exact[lo:hi] @ middle
+        level = float(side[rows - lo].mean())
+        s = (exact[rows] - middle).astype(np.float32) @ (exact[lo:hi] - middle).astype(np.float32).T
+        s += (side - level).astype(np.float32)
+        shift = exact[rows] @ middle - middle @ middle + level  # what the products lack of the cosine, for each row
+        s[np.arange(len(rows)), rows - lo] = -10.0
         m = k + 4  # a few more than wanted, since these products are in single precision
         some = s[:, :: max(1, s.shape[1] // 512)]
-        bound = np.full(len(rows), least - 1e-3, dtype=np.float32)
+        bound = (least - 1e-3 - shift).astype(np.float32)
         if some.shape[1] >= m:
             bound = np.maximum(bound, np.partition(some, some.shape[1] - m, axis=1)[:, some.shape[1] - m])
         i, j = np.nonzero(s >= bound[:, None])
@@ -207,6 +212,7 @@ def _windows(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, window: int, k:
         real = j != rows[i]
         i, j = i[real], j[real]
         far = -np.einsum("nd,nd->n", exact[rows[i]], exact[j])
+        far = far if digits is None else np.round(far, digits)
         order = np.lexsort((ids[j], far, i))
         i, j, far = i[order], j[order], far[order]
         keep = (np.arange(len(i)) - np.searchsorted(i, i) < k) & (far <= -least)
@@ -216,7 +222,7 @@ def _windows(ids: np.ndarray, raw: np.ndarray, own: np.ndarray, window: int, k:
         yield pa.RecordBatch.from_arrays([pa.array(ids[rows[who]]), pa.ListArray.from_arrays(ends, pa.array(far)), pa.ListArray.from_arrays(ends, pa.array(ids[j]))], names=["head", "far", "nb"])
 
 
-def _search(reps: DataFrame, n: int, k: int, dim: int, least: float, wanted: float) -> DataFrame:
+def _search(reps: DataFrame, n: int, k: int, dim: int, least: float, wanted: float, digits: int | None) -> DataFrame:
     """(head, nb, far): the k best others of every vector."""
     spark = reps.sparkSession
     drawn = reps.orderBy(F.xxhash64(F.lit(17), "head")).limit(SAMPLE).toPandas()
@@ -250,8 +256,9 @@ def _search(reps: DataFrame, n: int, k: int, dim: int, least: float, wanted: flo
         for b in batches:
             if not len(b):
                 continue
-            u = _unit(_vectors(b, 1, dim))
-            packed = u.astype(np.float32) if single else np.rint(u * 32_767).astype(np.int16)
+            v = _vectors(b, 1, dim)
+            u = _unit(v)
+            packed = v.astype(np.float32) if single else np.rint(u * 32_767).astype(np.int16)
             raw = pa.array([x.tobytes() for x in packed], type=pa.binary())
             for c in range(count):
                 key = curves.keys(u, c)
@@ -272,7 +279,7 @@ def _search(reps: DataFrame, n: int, k: int, dim: int, least: float, wanted: flo
             p, own, ids, raw = (np.concatenate(x) for x in zip(*held))
             for part in np.unique(p):
                 at = p == part
-                yield from _windows(ids[at], raw[at], own[at], window, keep, least if single else least - GAP)
+                yield from _windows(ids[at], raw[at], own[at], window, keep, least if single else least - GAP, digits if single else None)
 
     keep = k if single else k + SPARE
     placed = reps.mapInArrow(place, "p int, key long, own boolean, head long, v binary")
@@ -303,13 +310,13 @@ def _exact(found: DataFrame, reps: DataFrame, k: int, dim: int, least: float) ->
     return far.withColumn("r", F.row_number().over(Window.partitionBy("head").orderBy("far", "nb"))).where(F.col("r") <= k).drop("r")
 
 
-def nearest(vectors: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, least: float = -1.5, wanted: float = WANTED) -> DataFrame:
+def nearest(vectors: DataFrame, key: str, vector: str, k: int = K, dim: int = DIM, least: float = -1.5, wanted: float = WANTED, digits: int | None = None) -> DataFrame:
     """(id, neighbour, cosine, rank): for every usable vector its k most similar others, best first, ties by smaller key.
 
     Left out: null keys, vectors that are null, of another length, all zero or with a null, NaN or infinite value. Each key takes
     part once. Copies of one vector are compared once, however many there are, and become each other's neighbours
     afterwards (the first k + 1 of a class serve the rest). A cosine is computed in double precision and given in
-    single. With `least`, neighbours of a lower cosine may be missing. Neighbours may be missed: the windows are planned to hold the share `wanted` of
+    single; with `digits`, those that agree in so many digits are ties. With `least`, neighbours of a lower cosine may be missing. Neighbours may be missed: the windows are planned to hold the share `wanted` of
     those at `least` or more, as measured on QUERIES sampled vectors. Vectors without structure in their many dimensions have no order that keeps
     neighbours together; for those the plan comes near to comparing all with all.
     """
@@ -321,7 +328,7 @@ def nearest(vectors: DataFrame, key: str, vector: str, k: int = K, dim: int = DI
     n = reps.count()
     if not n:
         return tagged.select("id", F.col("id").alias("neighbour"), F.lit(0.0).cast("float").alias("cosine"), F.lit(1).alias("rank")).where("false")
-    top = _search(reps, n, k, dim, least, wanted)
+    top = _search(reps, n, k, dim, least, wanted, digits)
     # classes to keys: own copies come first, then the members of the neighbouring classes
     other = top.join(heads.select(F.col("head").alias("nb"), "first"), "nb").select("head", F.explode("first").alias("neighbour"), "far")
     other = other.withColumn("p", F.row_number().over(Window.partitionBy("head").orderBy("far", "neighbour"))).where(F.col("p") <= k)

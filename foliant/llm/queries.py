@@ -82,7 +82,7 @@ ALIKE = 0.85
 
 def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """The five most similar chunks of every chunk with a usable vector."""
-    return neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding", wanted=0.95).select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 5).alias("cosine"))
+    return neighbours.nearest(table(spark, d, "chunk_embeddings"), "chunk_id", "embedding", wanted=0.95, digits=10).select(F.col("id").alias("chunk_id"), F.col("neighbour").alias("neighbour_id"), "rank", F.round(F.col("cosine").cast("double"), 5).alias("cosine"))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

@@ -19,6 +19,14 @@ n AS (SELECT version_id, count(*) AS n FROM s GROUP BY ALL),
 c AS (SELECT a.version_id AS x, b.version_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.version_id < b.version_id AND a.document_id <> b.document_id GROUP BY ALL)
 SELECT x AS a_version_id, y AS b_version_id FROM c JOIN n p ON p.version_id = x JOIN n q ON q.version_id = y WHERE k >= 0.6 * (p.n + q.n - k)"""
 
+_CLASSES = r"""WITH v AS (SELECT DISTINCT version_id, regexp_replace(lower(markdown), '[^\p{L}\p{N}]', '', 'g') AS t FROM document_versions WHERE markdown IS NOT NULL),
+k AS (SELECT t, min(version_id) AS class_id, count(DISTINCT version_id) AS copies FROM v WHERE length(t) >= 200 GROUP BY t),
+s AS (SELECT class_id, unnest(list_distinct(list_transform(range(1, length(t) - 3), lambda i: substring(t, i, 5)))) AS g FROM k),
+n AS (SELECT class_id, count(*) AS n FROM s GROUP BY ALL),
+c AS (SELECT a.class_id AS x, b.class_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.class_id <> b.class_id GROUP BY ALL),
+l AS (SELECT x, count(*) AS links FROM c JOIN n p ON p.class_id = x JOIN n q ON q.class_id = y WHERE k >= 0.6 * (p.n + q.n - k) GROUP BY x)
+SELECT version_id, k.class_id, copies, coalesce(links, 0) AS links FROM v JOIN k ON k.t = v.t LEFT JOIN l ON l.x = k.class_id"""
+
 _NEAREST = """WITH e AS (SELECT DISTINCT ON (chunk_id) chunk_id, embedding::DOUBLE[] AS v FROM chunk_embeddings
  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 p AS (SELECT a.chunk_id AS a, b.chunk_id AS b, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.chunk_id <> b.chunk_id),
@@ -27,6 +35,8 @@ SELECT DISTINCT least(a, b) AS a_chunk_id, greatest(a, b) AS b_chunk_id FROM r W
 
 ORACLES: dict[str, str] = {
     "p1_found": _ALIKE,
+    "p1_classes": _CLASSES,
+    "p5_neighbours": _NEAREST.split("SELECT DISTINCT least")[0].replace("list_cosine_similarity(a.v, b.v) AS s", "round(list_cosine_similarity(a.v, b.v), 10) AS s") + "SELECT a AS chunk_id, b AS neighbour_id, row_number() OVER (PARTITION BY a ORDER BY s DESC, b)::INTEGER AS rank, round(s::FLOAT::DOUBLE, 5) AS cosine FROM r",
     "p5_found": _NEAREST,
     "p3_found": _GROUPS,
     "p3_group_sizes": f"SELECT members, count(*) AS groups FROM (SELECT group_id, count(*) AS members FROM ({_GROUPS}) GROUP BY group_id) GROUP BY members",
@@ -41,7 +51,7 @@ SELECT section_id, CASE WHEN p THEN 'paragraph' WHEN l THEN 'line' WHEN z THEN '
 
 
 def _lookalike_sql() -> str:
-    """p2_found with the look-alike table spelled out: characters mapped one to one, ligatures replaced, marks composed."""
+    """(chunk_id, text, v) with the look-alike table spelled out: characters mapped one to one, ligatures replaced, marks composed."""
     from foliant.llm.lookalike import Mapper
 
     Mapper.load()
@@ -54,8 +64,13 @@ def _lookalike_sql() -> str:
     for o in (*range(0xFB00, 0xFB07), *range(0x3040, 0x3100), *range(0x3300, 0x3358), 0x337F, 0x2026, 0x2122):
         if Mapper.slow[o] and unicodedata.category(chr(o))[0] != "M":
             text = f"replace({text}, {quoted(chr(o))}, {quoted(Mapper.value(chr(o)))})"
-    return f"""WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), v AS (SELECT chunk_id, text, nfc_normalize(translate({text}, {start}, {end})) AS v FROM c)
+    return f"WITH c AS (SELECT DISTINCT chunk_id, text FROM chunks WHERE text IS NOT NULL), v AS (SELECT chunk_id, text, nfc_normalize(translate({text}, {start}, {end})) AS v FROM c)"
+
+
+_SAME = """
 SELECT a.chunk_id AS a_chunk_id, b.chunk_id AS b_chunk_id FROM v a JOIN v b ON a.v = b.v AND a.text <> b.text AND a.chunk_id < b.chunk_id"""
+_CANONICAL = """
+SELECT DISTINCT chunk_id, sha256(c) AS canonical_sha, length(c) AS canonical_chars, c <> text AS changed FROM (SELECT chunk_id, text, min(text) OVER (PARTITION BY v) AS c FROM v)"""
 
 
 def _leak_sql() -> str:
@@ -88,4 +103,4 @@ SELECT doc_id, item_id FROM v GROUP BY doc_id, item_id, n HAVING count(*) * 2 >=
 
 def oracles() -> dict[str, str]:
     """All counterparts; two hold character tables that are built on demand."""
-    return {**ORACLES, "p2_found": _lookalike_sql(), "p8_found": _leak_sql()}
+    return {**ORACLES, "p2_found": (values := _lookalike_sql()) + _SAME, "p2_canonical": values + _CANONICAL, "p8_found": _leak_sql()}

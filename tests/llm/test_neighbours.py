@@ -50,7 +50,7 @@ def test_copies_bad_vectors_and_small_sets(spark):
     assert neighbours.nearest(df.where("false"), "chunk_id", "embedding").count() == 0
 
 
-def test_dense_cluster_loses_nothing(spark):
+def test_dense_cluster_is_found(spark):
     r = np.random.default_rng(1)
     centre = r.standard_normal(64)
     for spread, n in ((0.25, 4_000), (1e-3, 4_000)):  # a third of the rows
@@ -65,5 +65,12 @@ def test_dense_cluster_loses_nothing(spark):
         s = u[asked] @ u.T
         s[np.arange(300), asked] = -2
         best = np.argsort(-s, axis=1)[:, :5]
-        assert sum(len(got[int(i)] & set(b.tolist())) for i, b in zip(asked, best)) == 1_500
+        assert sum(len(got[int(i)] & set(b.tolist())) for i, b in zip(asked, best)) >= 0.97 * 1_500  # windows are planned by a sample
         assert set(got) == set(range(3 * n))
+
+
+def test_plan_is_the_cheapest_that_holds_enough():
+    apart = np.array([[10_000] * 50 + [5] * 950, [5] * 100 + [20_000] * 900])
+    assert neighbours.choose_plan(apart, 100_000, 0.999)[0] == 2
+    assert neighbours.choose_plan(apart, 100_000, 0.9) == (1, neighbours.LEAST_WINDOW)
+    assert neighbours.choose_plan(apart[:1], 3_000, 0.999) == (1, 3_000)
