@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from foliant.functions.highlight import highlight
 from foliant.functions.quality import needs_fallback, quality
-from foliant.functions.segment import words
+from foliant.functions.segment import query_terms, words
 from foliant.functions.shingle import containment, jaccard, shingles, simhash48
 from foliant.functions.text import accepted, extension, mime_type, strip_anchors, title_from_filename, utf16_length
 from foliant.operators import chunk, contradiction, dedupe, diff, fts, hybrid, ingest, taxonomy, vector
@@ -229,6 +229,56 @@ def bm25_search(spark: SparkSession, d: str) -> DataFrame:
     return hits.join(visible, "id").orderBy("score", "id").limit(30).select(F.col("id").alias("chunk_id"), "document_id", F.round("score", 6).alias("score"))
 
 
+def _filterable(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with all that a search can filter by: owner's department, engine of the current version, freshness."""
+    docs, people, versions = _t(spark, d, "managed_documents", "people", "document_versions")
+    v = reports.once(versions, "version_id").select(F.col("version_id").alias("current_version_id"), "conversion_engine")
+    p = people.select(F.col("person_id").alias("owner_person_id"), "department")
+    f = _fresh(spark, d).select("document_id", F.col("score").alias("freshness_score"))
+    return docs.join(v, "current_version_id", "left").join(p, "owner_person_id", "left").join(f, "document_id", "left")
+
+
+def filtered_search(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked hits for one word among the documents that pass filters of type, department, engine, date, status and freshness."""
+    c = reports.once(table(spark, d, "chunks"), "chunk_id")
+    x = _filterable(spark, d)
+    want = fts.filters(doc_types=["minutes", "report", "manual", "regulation", "contract", "other", "sheet"], department="Human Resources", engine="local:mammoth+turndown", updated_after=1_600_000_000_000, freshness_max=95.0, columns=tuple(x.columns))
+    visible = c.select(F.col("chunk_id").alias("id"), "document_id").join(x.where(want).select("document_id"), "document_id", "left_semi")
+    hits = fts.search(fts.build_index(c, "chunk_id", "title", "heading_path", "text", "simple"), ["review"], visible)
+    return hits.select(F.col("id").alias("chunk_id"), "document_id", F.round("score", 6).alias("score"))
+
+
+JAPANESE = "勤怠申請書の保存期間"
+
+
+def _japanese(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    c, visible = _chunks(spark, d)
+    terms = query_terms(spark, JAPANESE)
+    return fts.bm25(fts.build_index(c, "chunk_id", "title", "heading_path", "text", keep=True), terms), visible, terms
+
+
+def japanese_search(spark: SparkSession, d: str) -> DataFrame:
+    """Ranked hits for a Japanese question, parted like the texts by the dictionary, best first and grouped by document."""
+    hits, visible, _ = _japanese(spark, d)
+    top = hits.join(visible, "id").orderBy("score", "id").limit(30)
+    return fts.group_by_document(top, "document_id").select(F.col("id").alias("chunk_id"), "document_id", "hit_no", F.round("score", 6).alias("score"))
+
+
+def japanese_excerpts(spark: SparkSession, d: str) -> DataFrame:
+    """The chunks that answer a Japanese question, with excerpts around its words."""
+    hits, visible, terms = _japanese(spark, d)
+    c = reports.once(table(spark, d, "chunks"), "chunk_id").select(F.col("chunk_id").alias("id"), "text")
+    x = hits.join(visible, "id").join(c, "id")
+    h = spread(x).select(F.col("id").alias("chunk_id"), highlight(F.col("text"), F.array(*map(F.lit, terms))).alias("h"))
+    return h.select("chunk_id", F.size("h").alias("excerpts"), F.exists(F.col("h")[0]["segments"], lambda s: s["hit"]).alias("has_hit"))
+
+
+def japanese_near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+    """As near_duplicates, with words by the dictionary."""
+    reps = materialise(dedupe.representatives(_current(spark, d)), "contents")
+    return dedupe.classify(dedupe.near_pairs(reps), reps).select("a", "b", "kind", F.round("score", 6).alias("score"), "hamming")
+
+
 def grouped_hits(spark: SparkSession, d: str) -> DataFrame:
     hits, visible = _keyword(spark, d)
     top = hits.join(visible, "id").orderBy("score", "id").limit(30)
@@ -316,7 +366,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         list_documents, document_details, versions_with_previous, stats_by_type, stats_by_engine, governance_summary, open_relations, superseded_documents, freshness_scores, freshness_heatmap, due_soon, overdue, finding_titles,
         visible_documents, category_tree, document_outlines, job_counts, recent_jobs, by_severity, stream_event_counts, hourly_events, file_names, ingest_new, next_version_numbers, merged_relations, markdown_bodies, quality_gate,
-        token_statistics, frequent_words, annotated_lines, markdown_chunks, version_diffs, bm25_search, grouped_hits, cosine_topk, rrf_fusion, unembedded, backfilled, highlighted, exact_classes, simhash_values, near_duplicates,
+        token_statistics, frequent_words, annotated_lines, markdown_chunks, version_diffs, bm25_search, grouped_hits, filtered_search, japanese_search, japanese_excerpts, japanese_near_duplicates, cosine_topk, rrf_fusion, unembedded, backfilled, highlighted, exact_classes, simhash_values, near_duplicates,
         contradiction_candidates, relation_likeness,
     )
 }

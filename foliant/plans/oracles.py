@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foliant.functions.freshness import DAY, HALF_LIFE, REVIEW
 from foliant.functions.segment import STOPWORDS
+from foliant.functions.shingle import FNV_OFFSET, FNV_PRIME
 from foliant.functions.text import MIME
 from foliant.operators.contradiction import SIGNALS
 
@@ -107,6 +108,25 @@ u AS (SELECT id, owners, len(s) AS n, unnest(s) AS g FROM o),
 p AS (SELECT a.id AS a, b.id AS b, a.n + b.n AS t, count(*) AS k FROM u a JOIN u b ON a.g = b.g AND a.id < b.id AND NOT (len(a.owners) = 1 AND a.owners = b.owners) GROUP BY ALL)
 SELECT a, b, round(k::DOUBLE / (t - k), 6) AS jaccard FROM p WHERE k::DOUBLE / (t - k) >= 0.12 ORDER BY k::DOUBLE / (t - k) DESC, a, b LIMIT 60"""
 
+_CODES = "list_transform(flatten(list_transform(string_split(g, ''), lambda c: CASE WHEN unicode(c) < 65536 THEN [unicode(c)] ELSE [55296 + (unicode(c) - 65536) // 1024, 56320 + (unicode(c) - 65536) % 1024] END)), lambda u: u::HUGEINT)"
+_FNV48 = f"list_reduce({_CODES}, lambda h, u: xor(h, u) * {FNV_PRIME} % {1 << 64}, {FNV_OFFSET}::HUGEINT) % {1 << 48}"
+_HASHES = f"""{_CURRENT}, ww AS (SELECT version_id, document_id, markdown, {_words("markdown")} AS w FROM cur), sl AS (SELECT version_id, document_id, markdown, {_shingles("w")} AS l FROM ww),
+ds AS (SELECT DISTINCT unnest(l) AS g FROM sl), fv AS (SELECT g, {_FNV48} AS h FROM ds), xs AS (SELECT version_id, unnest(l) AS g FROM sl),
+bs AS (SELECT version_id, count(*) AS n, {", ".join(f"sum((h // {1 << i}) % 2) AS b{i}" for i in range(48))} FROM xs JOIN fv USING (g) GROUP BY version_id),
+sh AS (SELECT sl.version_id, document_id, markdown, l, coalesce({" + ".join(f"CASE WHEN b{i} * 2 > n THEN {1 << i} ELSE 0 END" for i in range(48))}, 0)::BIGINT AS simhash FROM sl LEFT JOIN bs USING (version_id))"""
+_NEAR = f"""WITH {_HASHES}, rp AS (SELECT min(version_id) AS v, CASE WHEN count(DISTINCT document_id) = 1 THEN min(document_id) END AS d, any_value(simhash) AS s, list_distinct(any_value(l)) AS l FROM sh GROUP BY markdown),
+pr AS (SELECT a.v AS a, b.v AS b, bit_count(xor(a.s, b.s))::INTEGER AS hamming, len(list_intersect(a.l, b.l))::DOUBLE AS i, len(a.l) AS na, len(b.l) AS nb FROM rp a JOIN rp b ON a.v < b.v AND (a.d IS NULL OR b.d IS NULL OR a.d <> b.d) AND bit_count(xor(a.s, b.s)) <= 8),
+sc AS (SELECT *, CASE WHEN least(na, nb) = 0 THEN 0 ELSE i / least(na, nb) END AS c, CASE WHEN na + nb = 0 THEN 0 ELSE i / (na + nb - i) END AS j FROM pr)
+SELECT a, b, CASE WHEN c >= 0.85 THEN 'contained_in' ELSE 'near_dup' END AS kind, round(CASE WHEN c >= 0.85 THEN c ELSE j END, 6) AS score, hamming FROM sc"""
+# the length of the longest common run of lines, row by row of the table
+_COMMON = "list_reduce(x, lambda prev, a: list_reduce(range(1, len(y) + 1), lambda cells, j: list_append(cells, CASE WHEN a = y[j] THEN prev[j] + 1 ELSE greatest(prev[j + 1], cells[j]) END), [0::BIGINT]), list_transform(range(0, len(y) + 1), lambda i: 0::BIGINT))[-1]"
+_DIFFS = rf"""WITH s AS (SELECT version_id, document_id, version_no, regexp_replace(regexp_replace(markdown, '(?m)^<!--\s*(page|sheet|slide):[^>]*-->\s*$', '', 'g'), '^{_WS}+|{_WS}+$', '', 'g') AS t FROM {VERSIONS}),
+p AS (SELECT version_id, t AS new, lag(t) OVER w AS old, lag(version_id) OVER w AS before FROM s WINDOW w AS (PARTITION BY document_id ORDER BY version_no, version_id)),
+l AS (SELECT version_id, CASE WHEN coalesce(old, '') = '' THEN [] ELSE string_split(old, chr(10)) END AS x, CASE WHEN coalesce(new, '') = '' THEN [] ELSE string_split(new, chr(10)) END AS y FROM p WHERE before IS NOT NULL)
+SELECT version_id, len(y) - {_COMMON} AS added, len(x) - {_COMMON} AS removed FROM l"""
+_FILTERED = f"""{_FRESH}
+SELECT h.chunk_id, h.document_id, round(h.score, 6) AS score FROM (WITH {_bm25(["review"])} SELECT * FROM hits) h JOIN managed_documents m ON m.document_id = h.document_id JOIN {VERSIONS} v ON v.version_id = m.current_version_id JOIN people pp ON pp.person_id = m.owner_person_id
+LEFT JOIN fresh fr ON fr.document_id = m.document_id WHERE m.doc_type <> 'slide' AND pp.department = 'Human Resources' AND v.conversion_engine = 'local:mammoth+turndown' AND m.updated_at >= 1600000000000 AND coalesce(fr.score, 0) <= 95 ORDER BY h.score, h.chunk_id LIMIT 30"""
 _UNEMBEDDED = f"{CHUNKS} c JOIN managed_documents d ON d.document_id = c.document_id AND d.status <> 'archived' WHERE NOT EXISTS (SELECT 1 FROM chunk_embeddings e WHERE e.chunk_id = c.chunk_id AND e.embedding IS NOT NULL)"
 
 ORACLES: dict[str, str] = {
@@ -182,6 +202,10 @@ f AS (SELECT chunk_id, sum(1.0::DOUBLE / (60 + r)) AS rrf, string_agg(leg, ',' O
 SELECT f.chunk_id, round(rrf, 6) AS rrf, matched_by FROM f JOIN {CHUNKS} c ON c.chunk_id = f.chunk_id JOIN managed_documents d ON d.document_id = c.document_id AND d.status <> 'archived' ORDER BY f.rrf DESC, matched_by, f.chunk_id LIMIT 30""",
     "unembedded": f"SELECT c.chunk_id, c.document_id FROM {_UNEMBEDDED}",
     "backfilled": f"SELECT c.chunk_id, 64::BIGINT AS size FROM {_UNEMBEDDED}",
+    "filtered_search": _FILTERED,
+    "simhash_values": f"WITH {_HASHES} SELECT version_id, simhash FROM sh",
+    "near_duplicates": _NEAR,
+    "version_diffs": _DIFFS,
     "exact_classes": f"WITH {_CURRENT} SELECT version_id, min(version_id) OVER (PARTITION BY sha256(markdown)) AS first_version_id, count(*) OVER (PARTITION BY sha256(markdown)) AS copies FROM cur",
     "relation_likeness": f"""WITH s AS (SELECT version_id, list_distinct({_shingles("w")}) AS s FROM (SELECT version_id, {_words("markdown")} AS w FROM {VERSIONS} WHERE markdown IS NOT NULL)),
 p AS (SELECT r.relation_id, len(list_intersect(a.s, b.s))::DOUBLE AS i, len(a.s) AS na, len(b.s) AS nb FROM {RELATIONS} r JOIN s a ON a.version_id = r.a_version_id JOIN s b ON b.version_id = r.b_version_id)
