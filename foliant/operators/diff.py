@@ -2,14 +2,49 @@
 
 from __future__ import annotations
 
+from array import array
+
 import pandas as pd
 from pyspark.sql import Column, functions as F, types as T
 
 
+def _common(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """Places of a longest common run of lines, by furthest-reaching paths; step d keeps the 2d + 3 ends it began with."""
+    n, m = len(x), len(y)
+    mid = n + m + 1
+    reach = [0] * (2 * mid + 1)
+    trail: list[array] = []
+    end = False
+    while not end:
+        d = len(trail)
+        trail.append(array("i", reach[mid - d - 1 : mid + d + 2]))
+        for k in range(-d, d + 1, 2):
+            i = reach[mid + k + 1] if k == -d or (k != d and reach[mid + k - 1] < reach[mid + k + 1]) else reach[mid + k - 1] + 1
+            while i < n and i - k < m and x[i] == y[i - k]:
+                i += 1
+            reach[mid + k] = i
+            if i >= n and i - k >= m:
+                end = True
+                break
+    out: list[tuple[int, int]] = []
+    i, j = n, m
+    for d in range(len(trail) - 1, -1, -1):
+        ends, k = trail[d], i - j
+        down = k == -d or (k != d and ends[k + d] < ends[k + d + 2])
+        p = ends[k + d + 2] if down else ends[k + d]
+        q = p - (k + 1 if down else k - 1)
+        start = (0 if d == 0 else p if down else p + 1)
+        while i > start and j > 0:
+            i, j = i - 1, j - 1
+            out.append((i, j))
+        i, j = p, q
+    return out[::-1]
+
+
 def line_diff(old: str, new: str) -> list[tuple[str, int, str]]:
     """(kind, lines, text) runs with kind same, removed or added; removals come before additions in one place.
 
-    Common lines at both ends are set aside; the furthest-reaching paths of the greedy algorithm give a least number of changes.
+    Common lines at both ends are set aside, and lines that only one side has are no part of the search, which gives a least number of changes.
     """
     a, b = old.split("\n") if old else [], new.split("\n") if new else []
     lead = 0
@@ -19,35 +54,15 @@ def line_diff(old: str, new: str) -> list[tuple[str, int, str]]:
     while tail < min(len(a), len(b)) - lead and a[-1 - tail] == b[-1 - tail]:
         tail += 1
     x, y = a[lead : len(a) - tail], b[lead : len(b) - tail]
-    n, m = len(x), len(y)
-    reach = {1: 0}
-    trail: list[dict[int, int]] = []
-    for d in range(n + m + 1):
-        trail.append(dict(reach))
-        for k in range(-d, d + 1, 2):
-            i = reach[k + 1] if k == -d or (k != d and reach[k - 1] < reach[k + 1]) else reach[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            reach[k] = i
-            if i >= n and i - k >= m:
-                break
-        else:
-            continue
-        break
-    ops: list[tuple[str, str]] = []
-    i, j = n, m
-    for d in range(len(trail) - 1, -1, -1):
-        before, k = trail[d], i - j
-        down = k == -d or (k != d and before.get(k - 1, -1) < before.get(k + 1, -1))
-        p = before[k + 1] if down else before[k - 1]
-        q = p - (k + 1 if down else k - 1)
-        while i > p and j > q and i > 0 and j > 0 and x[i - 1] == y[j - 1] and (i, j) != ((p, q + 1) if down else (p + 1, q)):
-            ops.append(("same", x[i - 1]))
-            i, j = i - 1, j - 1
-        if d:
-            ops.append(("added", y[j - 1]) if down else ("removed", x[i - 1]))
-            i, j = p, q
-    ops = [("same", s) for s in a[:lead]] + ops[::-1] + [("same", s) for s in a[len(a) - tail :]]
+    both = set(x) & set(y)
+    at, bt = [i for i, s in enumerate(x) if s in both], [j for j, s in enumerate(y) if s in both]
+    ops: list[tuple[str, str]] = [("same", s) for s in a[:lead]]
+    i = j = 0
+    for u, v in [(at[u], bt[v]) for u, v in _common([x[k] for k in at], [y[k] for k in bt])] + [(len(x), len(y))]:
+        ops += [("removed", s) for s in x[i:u]] + [("added", s) for s in y[j:v]]
+        ops += [("same", x[u])] if u < len(x) else []
+        i, j = u + 1, v + 1
+    ops += [("same", s) for s in a[len(a) - tail :]]
     out: list[tuple[str, int, str]] = []
     at = 0
     while at < len(ops):
