@@ -311,20 +311,20 @@ def _summaries(trees: Trees, data: np.ndarray, offsets: np.ndarray, segments: bo
     return out
 
 
-def fit_trees(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id") -> Trees:
-    """Trees from labelled rows: at most TRAIN_ROWS a language, drawn by hash of the key, twice over.
+def fit_trees(docs: DataFrame, text: str = "text", label: str = "lang") -> Trees:
+    """Trees from labelled rows: at most TRAIN_ROWS different texts a language, drawn by hash of the text, so that a text which many rows repeat counts once.
 
     The first trees judge their own rows; rows whose text another language codes shorter are mislabelled or mixed and are
     dropped before the final count. Only the sample reaches the driver; it doesn't grow with the collection.
     """
-    rows = docs.select(F.col(text).alias("t"), canonical_label(F.col(label)).alias("l"), F.xxhash64(F.lit("fit"), F.col(key)).alias("h"))
+    rows = docs.select(F.col(text).alias("t"), canonical_label(F.col(label)).alias("l"), F.xxhash64(F.lit("fit"), F.col(text)).alias("h"))
     rows = rows.where(F.col("l").isin(*LANGS) & F.col("t").isNotNull() & F.length("t").between(60, TRAIN_CHARS))
     near = rows.groupBy("l").count().collect()  # one row for each language
     pick = F.lit(False)
     for r in near:
         parts = max(1, r["count"] // (TRAIN_ROWS + TRAIN_ROWS // 4))
         pick = pick | ((F.col("l") == r["l"]) & (F.pmod(F.col("h"), F.lit(parts)) == 0))
-    sample = rows.where(pick).limit(len(LANGS) * TRAIN_ROWS * 3).collect()
+    sample = rows.where(pick).distinct().limit(len(LANGS) * TRAIN_ROWS * 3).collect()
     by: dict[str, list] = {}
     for r in sorted(sample, key=lambda r: (r["h"], r["t"])):
         if len(by.setdefault(r["l"], [])) < TRAIN_ROWS:
